@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .media import media_features
+from .mixing import mixed
+from .packing import packed
 from .sharding import stratified_shards
 
 
@@ -26,7 +27,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op1_media": op1_media, "op4_sharding": op4_sharding, "op6_exact_dedup": op6_exact_dedup}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_docs(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_docs(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_media": op1_media,
+    "op4_sharding": op4_sharding,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
