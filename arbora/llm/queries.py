@@ -8,6 +8,7 @@ from .exact_dedup import exact_groups
 from .media import media_features
 from .mixing import mixed
 from .packing import packed
+from .quality import quality_scores
 from .sharding import stratified_shards
 
 
@@ -19,6 +20,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_docs(spark, sf_dir))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(_docs(spark, sf_dir))
 
@@ -37,6 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
