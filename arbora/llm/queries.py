@@ -10,6 +10,7 @@ from .mixing import mixed
 from .packing import packed
 from .quality import quality_scores
 from .sharding import stratified_shards
+from .toxicity import toxicity_scores
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_docs(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_docs(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op3_quality": op3_quality,
@@ -51,6 +56,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
