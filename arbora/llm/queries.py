@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .media import media_features
 from .mixing import mixed
+from .near_dedup import near_groups
 from .packing import packed
 from .quality import quality_scores
 from .sharding import stratified_shards
@@ -49,6 +50,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_docs(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_docs(spark, sf_dir), size=2, percent=80)
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op3_quality": op3_quality,
@@ -57,6 +62,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
