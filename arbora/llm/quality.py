@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, staged
+from .common import pieces, ship, staged, unit
 from .textvec import SPACE, buffer, hashes, words
 
-#: Labelled rows that a fit reads at most, by the order of a seeded hash.
+#: Labelled rows that a fit reads at most, by a seeded hash.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.3, 0.1, 0.02
@@ -138,6 +138,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id"
     return rows.groupBy("_id").agg(F.max("label").alias("label")).filter(~held_out("_id", folds))
 
 
+def chosen(known: DataFrame, rows: int, seed: int) -> DataFrame:
+    """``known``, or about ``rows`` of its rows by a seeded hash of their ids: each worker picks its own, nothing is sorted."""
+    n = known.count()
+    return known if n <= rows else known.filter(unit(F.lit(seed), "_id") < 0.97 * rows / n)
+
+
 def held_out(key: str, folds: int = 5):
     """Whether crc32(id as text) mod ``folds`` is 0; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds == 0
@@ -158,8 +164,8 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
 def trained(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
     """A discriminant from at most ``rows`` labelled documents; their statistics alone go to the driver, 80 bytes each."""
-    pairs = stats.join(labelled(stats, labels, "quality").withColumnRenamed("_id", "doc_id"), "doc_id")
-    found = pairs.select("x", "label").withColumn("u", F.xxhash64(F.lit(11), "x", "label")).orderBy("u").limit(rows).collect()
+    known = chosen(labelled(stats, labels, "quality"), rows, 11).withColumnRenamed("_id", "doc_id")
+    found = stats.join(known, "doc_id").select("x", "label").collect()
     x = np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r.label for r in found], int))
 
@@ -184,8 +190,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier predicts to be of quality, with all their columns; texts are not shuffled."""
-    known = labelled(docs, labels, "quality")
-    most = known.withColumn("u", F.xxhash64(F.lit(12), "_id")).orderBy("u").limit(FIT_ROWS).select("_id")
+    most = chosen(labelled(docs, labels, "quality"), FIT_ROWS, 11).select("_id")
     sample = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(most), "_id")
     model = trained(staged(document_statistics(sample, "_text", "_id")), labels)
     at = docs.columns.index(text)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, ship, staged
-from .quality import held_out, labelled
+from .quality import chosen, held_out, labelled
 from .textvec import NOT_ALNUM, buffer, hashes, mix, words
 
 #: Labelled documents that a fit reads at most, features that it keeps, and documents that a feature must be in.
@@ -158,7 +158,7 @@ def fit(keys: np.ndarray, start: np.ndarray, labels: np.ndarray, counts: np.ndar
 
 def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """A model from at most ``FIT_ROWS`` labelled documents of the learning folds, chosen by a seeded hash of their ids."""
-    known = labelled(docs, labels, "toxic").withColumn("u", F.xxhash64(F.lit(21), "_id")).orderBy("u").limit(FIT_ROWS).select("_id", "label")
+    known = chosen(labelled(docs, labels, "toxic"), FIT_ROWS, 21)
     sample = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "_id").select("text", "label")
     sample = staged(sample)
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
