@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .lm import lm_scores
 from .media import media_features
 from .mixing import mixed
 from .near_dedup import near_groups
@@ -34,6 +35,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(_docs(spark, sf_dir))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_lm": op5_lm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
