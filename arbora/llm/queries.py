@@ -10,6 +10,7 @@ from .media import media_features
 from .mixing import mixed
 from .near_dedup import near_groups
 from .packing import packed
+from .pii import pii_spans
 from .quality import quality_scores
 from .sharding import stratified_shards
 from .toxicity import toxicity_scores
@@ -23,6 +24,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_docs(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(_docs(spark, sf_dir))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -61,6 +66,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_lm": op5_lm,
