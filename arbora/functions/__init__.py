@@ -1,0 +1 @@
+"""Column functions that the engine adds to Spark's."""
