@@ -27,10 +27,12 @@ RATE = 8000
 #: Samples of an analysis frame, and from one to the next; the shortest payload has five frames.
 FRAME = 192
 HOP = FRAME // 2
-PEAKS = 2
+PEAKS = 3
 FAN_OUT = 1
 REACH = 32
 _BLOCK = 2048
+#: Magnitudes up to here are rounding, not peaks.
+NOISE = 0.01
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -58,10 +60,15 @@ def decode(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+def count(samples: bytes) -> int:
+    """Number of frames."""
+    return max(1, -(-len(samples) // HOP))
+
+
 def spectrogram(samples: bytes) -> Iterator[np.ndarray]:
-    """Magnitudes of Hann-windowed frames, half a frame apart, block by block; the last hop is filled with silence."""
-    x = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-len(x) // HOP) - 1)
+    """Magnitudes of Hann-windowed frames, half a frame apart, block by block; half a frame of silence comes before the samples, and the last hop is filled with it."""
+    x = np.frombuffer(b"\x80" * HOP + samples, np.uint8)
+    frames = count(samples)
     need = (frames - 1) * HOP + FRAME
     for first in range(0, frames, _BLOCK):
         last = min(frames, first + _BLOCK)
@@ -83,7 +90,7 @@ def peaks(samples: bytes, per_frame: int = PEAKS) -> tuple[np.ndarray, np.ndarra
         found = []
         for _ in range(per_frame):
             best = top.argmax(axis=1)
-            found.append(np.where(top[rows, best] > 0, best + 1, 0))
+            found.append(np.where(top[rows, best] > NOISE, best + 1, 0))
             top[rows, best] = 0
         b = np.sort(np.stack(found, axis=1), axis=1)
         t = np.broadcast_to((base + rows)[:, None], b.shape)
@@ -94,14 +101,12 @@ def peaks(samples: bytes, per_frame: int = PEAKS) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Time and code of each pair: a peak and each of the next ``FAN_OUT`` peaks of later frames that are at most ``REACH`` frames away."""
+    """Time and code of each pair: a peak and each of the next ``FAN_OUT`` peaks, by time and then bin, that are at most ``REACH`` frames away."""
     t, b = peaks(samples)
-    later = np.searchsorted(t, t, "right")
     times, codes = [], []
-    for k in range(FAN_OUT):
-        j = later + k
-        i = np.flatnonzero(j < len(t))
-        j = j[i]
+    for k in range(1, FAN_OUT + 1):
+        i = np.arange(max(0, len(t) - k))
+        j = i + k
         gap = t[j] - t[i]
         i, j, gap = i[gap <= REACH], j[gap <= REACH], gap[gap <= REACH]
         times.append(t[i])
@@ -124,7 +129,7 @@ def _analyse(batches: Iterator[pa.RecordBatch], keep_media: bool) -> Iterator[pa
                 back = decode(media)
                 t, c = fingerprints(back)
                 digest = hashlib.sha256(t.tobytes() + c.tobytes()).hexdigest()
-                n_frames = max(1, -(-len(back) // HOP) - 1)
+                n_frames = count(back)
                 rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), n_frames, t, c, f"{n_frames}:{len(t)}:{digest}") + ((media,) if keep_media else ()))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.binary()]
             arrays = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)]

@@ -47,13 +47,13 @@ def stratum(source: str):
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, size: float | None = None, source: str = "source") -> DataFrame:
     """``stratum, rate, cdf`` of each source. ``weights`` need not add up to 1; a source without one gets none. ``size``: rows wanted, by default as many as there are."""
     sizes = docs.groupBy(stratum(source).alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
     if weights is None:
         sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
     else:
         given = docs.sparkSession.createDataFrame([("" if k is None else f"={k}", float(v)) for k, v in weights.items()], "stratum string, w double")
         sizes = sizes.join(given, "stratum")
-    total = sizes.agg(F.sum("n"), F.sum("w")).first()
-    n, w = float(total[0] or 0) if size is None else float(size), float(total[1] or 0)
+    n, w = float(rows if size is None else size), float(sizes.agg(F.sum("w")).first()[0] or 0)
     return sizes.select("stratum", (F.lit(n) * F.col("w") / F.lit(w or 1.0) / F.col("n")).alias("rate")).mapInPandas(_tables, "stratum string, rate double, cdf array<double>")
 
 

@@ -142,6 +142,10 @@ class Graph:
             for i in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))):
                 self.labels[i] = min(self.labels[i], kind)
 
+    def hidden(self) -> set[int]:
+        """Nodes outside the base spans that repeat one inside: the patterns don't say what they are, so training leaves them out."""
+        return {x for i, j, kind in self.edges if kind for x, other in ((i, j), (j, i)) if self.labels[x] == OUTSIDE and self.labels[other] < OUTSIDE}
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (0, features, label), of (1, label, next label) and of (2, label, repetition's label)."""
@@ -151,10 +155,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column(0).to_pylist():
                 if text and _HINT.search(text):
                     g = Graph(text, base_spans(text))
-                    for bits, label in zip(g.bits, g.labels, strict=True):
-                        counts[0, bits, label] += 1
+                    hidden = g.hidden()
+                    for i, (bits, label) in enumerate(zip(g.bits, g.labels, strict=True)):
+                        counts[0, bits, label] += i not in hidden
                     for i, j, kind in g.edges:
-                        counts[1 + kind, g.labels[i], g.labels[j]] += 1
+                        counts[1 + kind, g.labels[i], g.labels[j]] += not hidden & {i, j}
         rows = [(*k, n) for k, n in counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["what", "a", "b", "n"])
 

@@ -1,8 +1,8 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled by a seeded hash within their source, a row's fractional rank is (rank + 1/2) / rows of its source, and the
-shards are equal cuts of the order by fractional rank; so each shard holds each source in its share of the whole, give or take a
-row. The law is ``rows``: counts of shards are at most one apart. Only ids, sizes and hashes are shuffled, never texts; ranks
+Rows are shuffled by a seeded hash within their source, a row's fractional rank is (rank + phase) / rows of its source with a seeded
+phase for each source (else small sources of one size would stand in the same places), and the shards are equal cuts of the order by
+fractional rank; so each shard holds each source in its share of the whole, give or take a row or so. The law is ``rows``: counts of shards are at most one apart. Only ids, sizes and hashes are shuffled, never texts; ranks
 come from ``common.ranked``, which splits a hot source into hash ranges.
 """
 
@@ -37,7 +37,7 @@ def stratified_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, t
     buckets = max(64, -(-total // RANGE_ROWS))
     tie = ["doc_id", "text_crc32", "size"]
     rows = ranked(rows, ["stratum"], "u", tie, buckets, "rank").join(small(sizes), "stratum")
-    rows = rows.withColumn("at", (F.col("rank") + 0.5) / F.col("rows")).withColumn("all", F.lit(0))
+    rows = rows.withColumn("at", (F.col("rank") + unit(F.lit(seed + 1), "stratum")) / F.col("rows")).withColumn("all", F.lit(0))
     rows = ranked(rows, ["all"], "at", ["u", "stratum", *tie], buckets, "place")
     # cut k begins at ceil(k * total / shards)
     shard = F.expr(f"(place * {shards}) div {max(total, 1)}")
