@@ -92,8 +92,11 @@ class Corpus:
         return self.parsed.filter("tag = 'artifact'").select("artifact_id", "name", "source_path", "format", "media_type", "size", "digest", "metadata", "error")
 
     def _content(self, tag: str) -> DataFrame:
-        first = self.parsed.filter("tag = 'artifact' and error is null").groupBy("artifact_id").agg(F.min("source_path").alias("source_path"))
-        return self.parsed.filter(F.col("tag") == tag).join(first, ["artifact_id", "source_path"], "left_semi")
+        """Rows of a tag without those of sources that repeat an earlier one's bytes; only the repeats are joined, so trees aren't shuffled while these are few."""
+        sources = self.parsed.filter("tag = 'artifact' and error is null").select("artifact_id", "source_path")
+        first = F.row_number().over(W.partitionBy("artifact_id").orderBy("source_path"))
+        repeats = sources.withColumn("_n", first).filter("_n > 1").drop("_n")
+        return self.parsed.filter(F.col("tag") == tag).join(repeats, ["artifact_id", "source_path"], "left_anti")
 
     @property
     def nodes(self) -> DataFrame:

@@ -18,14 +18,15 @@ def binary_files(spark: SparkSession, path: str | list[str], recursive: bool = F
 
 
 def from_bytes(spark: SparkSession, items: list[tuple[str, bytes]]) -> DataFrame:
-    return spark.createDataFrame([(n, "", len(d), bytearray(d)) for n, d in items], COLUMNS)
+    """Named bytes; their paths are their places in the list."""
+    return spark.createDataFrame([(n, f"bytes:{i:08d}", len(d), bytearray(d)) for i, (n, d) in enumerate(items)], COLUMNS)
 
 
 def from_column(df: DataFrame, content: str, name: Column | str, path: Column | None = None) -> DataFrame:
-    """Each row's text or bytes as a source; null is empty."""
+    """Each row's text or bytes as a source; null is empty. Without a path, rows are numbered."""
     body = F.coalesce(F.col(content), F.lit("")).cast("binary") if dict(df.dtypes)[content] != "binary" else F.coalesce(F.col(content), F.lit("").cast("binary"))
     name = F.col(name) if isinstance(name, str) else name
-    return df.select(name.alias("name"), (F.lit("") if path is None else path).alias("source_path"), F.octet_length(body).cast("bigint").alias("length"), body.alias("content"))
+    return df.select(name.alias("name"), (F.concat(F.lit("row:"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")) if path is None else path).alias("source_path"), F.octet_length(body).cast("bigint").alias("length"), body.alias("content"))
 
 
 class Roots:

@@ -230,3 +230,9 @@ def test_pushdown_reaches_the_scan(spark, folder):
     assert "PushedFilters: [" in plan
     assert "LessThanOrEqual(length,10)" in plan
     assert "content" not in listing(spark, str(folder))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_equal_bytes_have_one_tree(spark):
+    c = Engine(spark).inspect_bytes([("b.txt", b"same"), ("a.md", b"same")])
+    assert c.artifacts.count() == 2
+    assert [(r.kind, r.name) for r in c.nodes.orderBy("path").collect()] == [("document", "b.txt"), ("paragraph", "")]
