@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,24 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows that a table may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 10_000
+from arbora.ship import ship
 
+__all__ = ["BROADCAST_ROWS", "free", "pieces", "ranked", "shared_dir", "ship", "small", "staged", "unit"]
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that Python functions can be pickled by reference."""
-    sc = spark.sparkContext
-    if getattr(sc, "_arbora_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="arbora-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, "arbora_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    sc.addPyFile(target)
-    sc._arbora_shipped = True
+#: Rows that a table may have to be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
