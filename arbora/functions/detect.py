@@ -6,8 +6,6 @@ if the winner can't parse, the artifact has an error.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +126,3 @@ def detections(name: Column, content: Column, media: Column, extra: dict[str, Co
         raise ValueError("parser names must be unique and not empty")
     rows = [F.when(found[p]["score"] > 0, F.struct(F.least(found[p]["score"], F.lit(100)).alias("score"), F.lit(-i).alias("rank"), F.lit(p).alias("parser"), found[p]["reason"].alias("reason"))) for i, p in enumerate(names)]
     return F.sort_array(F.array_compact(F.array(*rows)), asc=False)
-
-
-Probe = Callable[[Column, Column, Column], Column]
