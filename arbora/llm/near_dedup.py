@@ -4,10 +4,11 @@ A first permutation (the shingles' hash) scatters a document's shingles over ``U
 by 0, 1, 2, ..., gives every coordinate of the signature: coordinate k is the least value of the shifted permutation over the
 document's places. Five neighbouring coordinates make a band; with 36 bands a pair of similarity 0.8 is missed once in 1.6 million.
 
-Documents with equal sets are one class from the start. In each bucket one member leads: the others are compared with it on their
-whole sets, never all with all. What is linked becomes one component; where a bucket still holds several components, the next
-member leads, until each bucket is one component or all its pairs across components were compared. All steps are joins and
-aggregations of narrow rows, staged in the shared folder; sets are moved only to candidates of fitting size.
+Documents with equal sets are one class from the start, and those with too many shingles of their own are linked with nothing. In
+each bucket one member leads: the others are compared with it on their whole sets, never all with all. Of a bucket's other pairs only
+those in different components matter, and of these only those whose differences from the leader overlap enough; an exact prefix
+filter on the differences finds them. All steps are joins and aggregations, staged in the shared folder; sets are moved to candidates
+only.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from .textvec import buffer, hashes, mix, words
 
 #: Places of the hashed shingles, bands of a signature, coordinates of a band.
 UNIVERSE, BANDS, ROWS = 1 << 20, 36, 5
-#: Rounds with one leader in each bucket; the pairs that are left then are compared at once.
-ROUNDS = 4
 SEED = 5
+#: Links that one task unites at most.
+TOGETHER = 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,9 +111,36 @@ def _verified(percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id, comp`` for each end of ``edges(a, b)``: the least id that is reachable. Labels spread and are shortened by looking up labels of labels, so long chains take few rounds."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each end of a task's edges with the least id that it reaches by them."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "comp"])
+
+
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """``id, comp`` for each end of ``edges(a, b)``: the least id that is reachable.
+
+    Up to ``together`` edges are one task's work. More are tables in which labels spread and are shortened by looking up labels of
+    labels, so long chains take few rounds.
+    """
+    edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if edges.count() <= together:
+        return staged(edges.repartition(1).mapInArrow(_united, "id long, comp long"))
+    both = staged(edges.union(edges.select("b", "a")))
     labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
@@ -128,42 +156,81 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each shingle of a batch of sets with its number of sets and one of them."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        h, first, n = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(ids[first])], names=["h", "n", "id"])
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` with ``own``, their shingles that no other set has, without those that these alone keep from any link.
+
+    Nobody shares an own shingle, so an intersection is at most n - own, and a union at least n.
+    """
+    once = sets.mapInArrow(_rare, "h long, n long, id long").groupBy("h").agg(F.sum("n").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    own = staged(once.groupBy("id").agg(F.count(F.lit(1)).alias("own")))
+    rows = members.join(own, "id", "left").select("key", "id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return staged(rows.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent))
+
+
+def _against(percent: int):
+    """Compare documents with their leaders, and give what decides whether two of a leader's documents can be linked to each other.
+
+    Let D(d) be the difference of d's set and the leader's, both ways; then the difference of two documents is that of their D. A link
+    needs a difference of at most c * (sum of sizes), c = (100 - percent) / (100 + percent), so two D must overlap by
+    t = (|D(d)| + |D(e)| - c * (|d| + |e|)) / 2 at least, and share one of their first |D| - t + 1 elements in any order common to
+    the leader's documents: here what the leader hasn't, which is rare, comes before what it has. As t is at most |D(e)| and sizes
+    are within percent, c * (|d| + most of |e|) + 1 elements are enough for any partner; for one that isn't linked to the leader, whose
+    D is larger than c * (|e| + |leader|), half of |D| + c * (|d| - |leader|), rounded up, is enough. ``half`` is that number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        less, more = 100 - percent, 100 + percent
+        for batch in batches:
+            linked, first, half = [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                extra, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                n, m = len(x), len(y)
+                both = n - len(extra)
+                linked.append(100 * both >= percent * (n + m - both))
+                length = less * (n + 100 * n // percent) // more + 1
+                half.append(max(0, -(-((n + m - 2 * both) * more + less * (n - m)) // (2 * more))))
+                if linked[-1]:
+                    length = min(length, half[-1])
+                first.append(np.concatenate((extra, lost))[:length].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(half, pa.int32())], names=["id", "lead", "linked", "first", "half"])
+
+    return run
+
+
 def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame | None:
     """``id, comp`` of the documents in ``members(key, id, n)`` that are linked to others; None if none is."""
     ids = staged(members.select("id").distinct())
     sets = staged(docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, set binary"))
-    comps: DataFrame | None = None
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    turn = 0
-    while True:
-        live = members.withColumn("comp", F.col("id")) if comps is None else members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        state = staged(live.groupBy("key").agg(F.min("comp").alias("least"), F.max(F.struct("comp", "id", "n")).alias("top")).filter("least < top.comp"))
-        if state.isEmpty():
-            break
-        live = live.join(state, "key")
-        if turn < ROUNDS:
-            pairs = live.filter(F.col("comp") != F.col("top.comp")).select("id", "n", F.col("top.id").alias("other"), F.col("top.n").alias("m"))
-        else:
-            x, y = live.select("key", "id", "n", "comp"), live.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("with"))
-            pairs = x.join(y, "key").filter("comp < `with`").select("id", "n", "other", "m")
-        pairs = pairs.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-        seen = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
-        found = seen.filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        tested = seen.select("a", "b") if tested is None else staged(tested.unionByName(seen.select("a", "b")))
-        if not found.isEmpty():
-            links = staged(links)
-            comps = components(links)
-        if turn >= ROUNDS:
-            break
-        members = staged(live.filter(F.col("id") != F.col("top.id")).select("key", "id", "n"))
-        turn += 1
-    return comps
+    members = _linkable(members, sets, percent)
+    # the member with the least of its own leads each bucket: most others are near it
+    best = F.struct((F.col("own") / F.col("n")).alias("r"), "id")
+    leads = members.groupBy("key").agg(F.min(best).alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("top.id").alias("lead"))
+    follow = members.join(leads, "key").filter("id <> lead").select("id", "lead").distinct()
+    left, right = sets.withColumnRenamed("set", "x"), sets.select(F.col("id").alias("lead"), F.col("set").alias("y"))
+    seen = staged(follow.join(left, "id").join(right, "lead").select("id", "lead", "x", "y").mapInArrow(_against(percent), "id long, lead long, linked boolean, first array<long>, half int"))
+    links = seen.filter("linked").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    comps = components(links)
+    # what the leaders left over: pairs of a leader's documents, one of them not linked to it, in different components
+    open_ = seen.filter("not linked").select("lead").distinct()
+    known = seen.join(open_, "lead", "left_semi").join(comps, "id", "left").select("lead", "id", "linked", F.coalesce("comp", "id").alias("comp"), "first", "half")
+    marks = staged(known.select("lead", "id", "linked", "comp", "half", F.posexplode("first").alias("at", "mark")).withColumn("deep", F.col("at") >= F.col("half")))
+    other = marks.select("lead", "mark", F.col("id").alias("with"), F.col("comp").alias("other"), F.col("linked").alias("close"), F.col("deep").alias("far"))
+    pairs = marks.filter("not linked").join(other, ["lead", "mark"]).filter("comp <> other and (close or not (deep or far))").select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    late = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
+    if late.filter("linked").isEmpty():
+        return comps
+    return components(links.unionByName(late.filter("linked").select("a", "b")))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -546,10 +546,11 @@ def test_signatures_estimate_similarity():
     assert abs(got - 0.6) < 0.12
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("together", [0, 10**6])
+def test_components_of_a_long_chain(spark, together):
     n = 300
     order = list(range(n))
     random.Random(3).shuffle(order)
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(n + 1, n + 2)]
-    found = {r.id: r.comp for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.id: r.comp for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), together).collect()}
     assert found == {i: 0 for i in range(n)} | {n + 1: n + 1, n + 2: n + 1}
