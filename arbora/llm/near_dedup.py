@@ -184,25 +184,28 @@ def _against(percent: int):
     t = (|D(d)| + |D(e)| - c * (|d| + |e|)) / 2 at least, and share one of their first |D| - t + 1 elements in any order common to
     the leader's documents: here what the leader hasn't, which is rare, comes before what it has. As t is at most |D(e)| and sizes
     are within percent, c * (|d| + most of |e|) + 1 elements are enough for any partner; for one that isn't linked to the leader, whose
-    D is larger than c * (|e| + |leader|), half of |D| + c * (|d| - |leader|), rounded up, is enough. ``half`` is that number.
+    D is larger than c * (|e| + |leader|), half of |D| + c * (|d| - |leader|), rounded up, is enough. ``half`` is that number. Of
+    the elements that two D share, the first leaves t - 1 after it in both, which turns most other pairs away (``gap`` is |D|).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         less, more = 100 - percent, 100 + percent
         for batch in batches:
-            linked, first, half = [], [], []
+            linked, first, half, gap, size = [], [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 extra, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
                 n, m = len(x), len(y)
                 both = n - len(extra)
+                gap.append(len(extra) + len(lost))
+                size.append(n)
                 linked.append(100 * both >= percent * (n + m - both))
                 length = less * (n + 100 * n // percent) // more + 1
                 half.append(max(0, -(-((n + m - 2 * both) * more + less * (n - m)) // (2 * more))))
                 if linked[-1]:
                     length = min(length, half[-1])
                 first.append(np.concatenate((extra, lost))[:length].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(half, pa.int32())], names=["id", "lead", "linked", "first", "half"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(half, pa.int32()), pa.array(gap, pa.int64()), pa.array(size, pa.int64())], names=["id", "lead", "linked", "first", "half", "gap", "n"])
 
     return run
 
@@ -217,15 +220,16 @@ def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     leads = members.groupBy("key").agg(F.min(best).alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("top.id").alias("lead"))
     follow = members.join(leads, "key").filter("id <> lead").select("id", "lead").distinct()
     left, right = sets.withColumnRenamed("set", "x"), sets.select(F.col("id").alias("lead"), F.col("set").alias("y"))
-    seen = staged(follow.join(left, "id").join(right, "lead").select("id", "lead", "x", "y").mapInArrow(_against(percent), "id long, lead long, linked boolean, first array<long>, half int"))
+    seen = staged(follow.join(left, "id").join(right, "lead").select("id", "lead", "x", "y").mapInArrow(_against(percent), "id long, lead long, linked boolean, first array<long>, half int, gap long, n long"))
     links = seen.filter("linked").select(F.col("id").alias("a"), F.col("lead").alias("b"))
     comps = components(links)
     # what the leaders left over: pairs of a leader's documents, one of them not linked to it, in different components
     open_ = seen.filter("not linked").select("lead").distinct()
-    known = seen.join(open_, "lead", "left_semi").join(comps, "id", "left").select("lead", "id", "linked", F.coalesce("comp", "id").alias("comp"), "first", "half")
-    marks = staged(known.select("lead", "id", "linked", "comp", "half", F.posexplode("first").alias("at", "mark")).withColumn("deep", F.col("at") >= F.col("half")))
-    other = marks.select("lead", "mark", F.col("id").alias("with"), F.col("comp").alias("other"), F.col("linked").alias("close"), F.col("deep").alias("far"))
-    pairs = marks.filter("not linked").join(other, ["lead", "mark"]).filter("comp <> other and (close or not (deep or far))").select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+    known = seen.join(open_, "lead", "left_semi").join(comps, "id", "left").select("lead", "id", "linked", F.coalesce("comp", "id").alias("comp"), "first", "half", "gap", "n")
+    marks = staged(known.select("lead", "id", "linked", "comp", "half", "gap", "n", F.posexplode("first").alias("at", "mark")).withColumn("deep", F.col("at") >= F.col("half")))
+    other = marks.select("lead", "mark", F.col("id").alias("with"), F.col("comp").alias("other"), F.col("linked").alias("close"), F.col("deep").alias("far"), F.col("gap").alias("its_gap"), F.col("n").alias("m"), F.col("at").alias("its_at"))
+    room = f"2 * {100 + percent} * least(gap - at, its_gap - its_at) >= (gap + its_gap) * {100 + percent} - (n + m) * {100 - percent}"
+    pairs = marks.filter("not linked").join(other, ["lead", "mark"]).filter(f"comp <> other and (close or not (deep or far)) and {room}").select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     late = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
     if late.filter("linked").isEmpty():
