@@ -1,8 +1,10 @@
 """Personal data: base patterns, and a skip-chain conditional random field that carries their labels through a document.
 
 Base spans are e-mail addresses, IPv4 addresses, card and phone numbers by fixed patterns, leftmost and non-overlapping for each
-kind. The field's nodes are the tokens with a digit or an @ (any other token is outside by definition); neighbouring nodes share
-transition potentials, and distant tokens that repeat a form, or the local part of an address, share skip potentials. Weights are
+kind. The field's nodes are the tokens with a digit or an @, and words that equal the local part of a base address (any other token
+is outside by definition). Neighbouring nodes share transition potentials. Skip potentials are shared by distant tokens that repeat
+a form, by addresses and words with the same local part, and by runs of digits, whatever marks and blanks stand between them, with
+the card or phone number that they repeat wholly or in part. The tokens of such a run are one node. Weights are
 trained on counts over all documents: a token's features against the base spans' labels, neighbours' labels, repeated tokens'
 labels. Sum-product messages are passed around the loops, and a token that comes out with an entity's label although no base span
 covers it, and that repeats a token which one does cover, is added to the spans. Base spans stay as they are.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ LABELS = OUTSIDE + 1
 PASSES, DAMPING, SURE = 10, 0.5, 0.6
 #: Repetitions that agree, for each label, which the skip potentials start from: many corpora hold few.
 PRIOR = 20
-#: Characters that a repeated form must have.
+#: Characters that a repeated form must have, and digits that a run must; local parts next to an @ may be shorter.
 FORM = 5
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,6 +41,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _HINT = re.compile(r"[0-9@]")
+_ADDRESSED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?=@)")
+_TOKEN = re.compile(r"\S++")
+_DIGITS = re.compile(r"[0-9]++")
+_BETWEEN = re.compile(r"(?:[^\w@]|_)++")
+_EDGE = ".,;:!?()[]<>\"'"
 
 
 def luhn(digits: str) -> bool:
@@ -113,34 +121,121 @@ def features(token: str, after_plus: bool) -> int:
     return sum(1 << i for i, x in enumerate(tests) if x)
 
 
+def _bare(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Tokens without a digit or an @ that equal the local part of a base address."""
+    known = {text[a:b].split("@", 1)[0].lower() for kind, a, b in base if KINDS[kind] == "email"}
+    known = {x for x in known if len(x) >= FORM and not _HINT.search(x)}
+    if not known:
+        return []
+    return [m.span() for m in _TOKEN.finditer(text) if m[0].strip(_EDGE).lower() in known]
+
+
+def _digit_keys(text: str, base: list[tuple[int, int, int]]) -> dict[str, tuple[int, bool]]:
+    """Digit strings that repeat a base card or phone number, wholly or by some of its groups: where the last of those digits stands, and whether it ends the number."""
+    keys: dict[str, tuple[int, bool]] = {}
+    for kind, a, b in base:
+        if KINDS[kind] not in ("card", "phone"):
+            continue
+        groups = [m.span() for m in _DIGITS.finditer(text, a, b)]
+        digits = "".join(text[x:y] for x, y in groups)
+        ends = np.cumsum([0] + [y - x for x, y in groups]).tolist()
+        for i, x in enumerate(ends):
+            for (_, at), y in zip(groups[i:], ends[i + 1 :], strict=True):
+                if y - x >= FORM and not keys.get(digits[x:y], (0, False))[1]:
+                    keys[digits[x:y]] = at - 1, y == len(digits)
+        if KINDS[kind] == "phone":  # from abroad, without the country's code, or with a 0 for it
+            for other in ["00" + digits, *(zero + digits[k:] for k in (1, 2, 3) for zero in ("", "0"))]:
+                if not keys.get(other, (0, False))[1]:
+                    keys[other] = b - 1, True
+    return keys
+
+
+def _runs(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """Runs of digit groups, leftmost and longest, that repeat a base number: start, end, and where the number's last digit stands.
+
+    No run enters or leaves a base span; one that breaks off before the number's end isn't followed by another group.
+    """
+    keys = _digit_keys(text, base)
+    if not keys:
+        return
+    longest = max(map(len, keys))
+    bounds = sorted({x for _, a, b in base for x in (a, b)})
+    groups = [m.span() for m in _DIGITS.finditer(text)]
+
+    def joined(j: int) -> bool:
+        """Whether group j goes on what group j - 1 began."""
+        before, a = groups[j - 1][1], groups[j][0]
+        return bisect_left(bounds, before) == bisect_right(bounds, a) and _BETWEEN.fullmatch(text, before, a) is not None
+
+    i = 0
+    while i < len(groups):
+        digits, last, found = "", i, ""
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            if len(digits) + b - a > longest or j > i and not joined(j):
+                break
+            digits += text[a:b]
+            if digits in keys and (keys[digits][1] or j + 1 == len(groups) or not joined(j + 1)):
+                last, found = j, digits
+        if found:
+            yield groups[i][0], groups[last][1], keys[found][0]
+        i = last + 1
+
+
 class Graph:
-    """Nodes, features, labels by base spans, and edges of a document: 0 between neighbours, 1 from a form to its next repetition."""
+    """Nodes, features, labels by base spans, and edges of a document: 0 between neighbours, 1 from a form to its next repetition and from a number to the runs that repeat it.
+
+    A run that repeats a number outside the base spans makes one node of its tokens; ``runs`` has the starts and ends of those in a node.
+    """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]) -> None:
-        self.spans = [m.span() for m in _NODE.finditer(text)]
+        tokens = sorted([m.span() for m in _NODE.finditer(text)] + _bare(text, base))
+        labels = [OUTSIDE] * len(tokens)
+        starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+        for kind, a, b in base:
+            for i in range(bisect_right(ends, a), bisect_left(starts, b)):
+                labels[i] = min(labels[i], kind)
+        runs = [(a, b, bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, bisect_right(starts, at) - 1) for a, b, at in _runs(text, base)]
+        joins = {k for a, b, i, j, _ in runs if min(labels[i : j + 1]) == OUTSIDE for k in range(i + 1, j + 1)}
+        place = (np.cumsum([i not in joins for i in range(len(tokens))], dtype=int) - 1).tolist()
+        self.spans: list[tuple[int, int]] = []
+        self.labels: list[int] = []
+        for i, (a, b) in enumerate(tokens):
+            if i in joins:
+                self.spans[-1] = self.spans[-1][0], b
+            else:
+                self.spans.append((a, b))
+                self.labels.append(labels[i])
         self.bits: list[int] = []
-        self.labels = [OUTSIDE] * len(self.spans)
         self.edges: list[tuple[int, int, int]] = []
+        self.runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        linked: set[tuple[int, int]] = set()
+        for a, b, i, j, at in runs:
+            i, j, at = place[i], place[j], place[at]
+            if j != at:
+                linked.add((min(j, at), max(j, at)))
+            if i == j and self.labels[i] == OUTSIDE:
+                if text[a - 1 : a] == "(" and text.count(")", a, b) > text.count("(", a, b):
+                    a -= 1
+                self.runs[i].append((a - (text[a - 1 : a] == "+"), b))
         forms: dict[str, int] = {}
         after = False
         for i, (a, b) in enumerate(self.spans):
-            token = text[a:b]
+            token = " ".join(text[a:b].split())
             near = i > 0 and a - self.spans[i - 1][1] == 1
             after = near and (token.startswith("(") and after or text[self.spans[i - 1][0]] == "+" or after and self.bits[i - 1] >> 3 & 1 == 1)
             self.bits.append(features(token, after))
             if near:
                 self.edges.append((i - 1, i, 0))
-            form = token.strip(".,;:!?()[]\"'").lower()
-            for f in {form, form.split("@", 1)[0]}:
-                if len(f) >= FORM and _HINT.search(f):
-                    if f in forms and forms[f] != i:
-                        self.edges.append((forms[f], i, 1))
-                    forms[f] = i
-        starts = [a for a, _ in self.spans]
-        ends = [b for _, b in self.spans]
-        for kind, a, b in base:
-            for i in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))):
-                self.labels[i] = min(self.labels[i], kind)
+            form = token.strip(_EDGE).lower()
+            found = {f for f in (form, form.split("@", 1)[0]) if len(f) >= FORM}
+            if "@" in form:
+                found |= set(_ADDRESSED.findall(form))
+            for f in found:
+                if f in forms and forms[f] != i:
+                    linked.add((forms[f], i))
+                forms[f] = i
+        self.edges += [(i, j, 1) for i, j in sorted(linked)]
 
     def hidden(self) -> set[int]:
         """Nodes outside the base spans that repeat one inside: the patterns don't say what they are, so training leaves them out."""
@@ -258,8 +353,11 @@ class Field:
             for i, (a, b) in enumerate(g.spans):
                 label = int(best[f + i])
                 if g.labels[i] == OUTSIDE and label < OUTSIDE and sure[f + i] and (root(i), label) in held:
+                    if i in g.runs:
+                        found += [(label, *run) for run in g.runs[i]]
+                        continue
                     token = texts[t][a:b]
-                    core = token.strip(".,;:!?()[]\"'")
+                    core = token.strip(_EDGE)
                     lead = token.find(core)
                     found.append((label, a + lead, a + lead + len(core)))
             if found:
