@@ -29,6 +29,8 @@ KINDS = ["email", "ip", "card", "phone"]
 OUTSIDE = len(KINDS)
 LABELS = OUTSIDE + 1
 PASSES, DAMPING, SURE = 10, 0.5, 0.6
+#: Added to the potential of a base span's label, more than all messages to a node can sum to.
+GIVEN = 1e9
 #: Repetitions that agree, for each label, which the skip potentials start from: many corpora hold few.
 PRIOR = 20
 #: Characters that a repeated form must have, and digits that a run must; local parts next to an @ may be shorter.
@@ -183,7 +185,7 @@ def _runs(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, in
 
 
 class Graph:
-    """Nodes, features, labels by base spans, and edges of a document: 0 between neighbours, 1 from a form to its next repetition and from a number to the runs that repeat it.
+    """Nodes, features, labels by base spans, and edges of a document: 0 between neighbours, 1 from a form's first occurrence in a base span to all others, or else from each to the next, and from a number to the runs that repeat it.
 
     A run that repeats a number outside the base spans makes one node of its tokens; ``runs`` has the starts and ends of those in a node.
     """
@@ -218,7 +220,7 @@ class Graph:
                 if text[a - 1 : a] == "(" and text.count(")", a, b) > text.count("(", a, b):
                     a -= 1
                 self.runs[i].append((a - (text[a - 1 : a] == "+"), b))
-        forms: dict[str, int] = {}
+        forms: dict[str, list[int]] = defaultdict(list)
         after = False
         for i, (a, b) in enumerate(self.spans):
             token = " ".join(text[a:b].split())
@@ -232,9 +234,13 @@ class Graph:
             if "@" in form:
                 found |= set(_ADDRESSED.findall(form))
             for f in found:
-                if f in forms and forms[f] != i:
-                    linked.add((forms[f], i))
-                forms[f] = i
+                forms[f].append(i)
+        for nodes in forms.values():
+            hub = next((i for i in nodes if self.labels[i] < OUTSIDE), None)
+            if hub is None:
+                linked |= set(zip(nodes, nodes[1:], strict=False))
+            else:  # evidence reaches each repetition at once and alike, however many there are
+                linked |= {(min(i, hub), max(i, hub)) for i in nodes if i != hub}
         self.edges += [(i, j, 1) for i, j in sorted(linked)]
 
     def hidden(self) -> set[int]:
@@ -299,9 +305,9 @@ class Field:
         return cls(w, np.clip(np.log(both / chance), -3, 3))
 
     def marginals(self, bits: np.ndarray, labels: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Probabilities of each node's labels after ``PASSES`` rounds of damped messages both ways along each edge; base labels are evidence."""
+        """Probabilities of each node's labels after ``PASSES`` rounds of damped messages both ways along each edge; base labels are given, so no number of doubtful repetitions outweighs them."""
         unary = _design(bits) @ self.weights
-        unary[np.arange(len(labels)), labels] += np.where(labels < OUTSIDE, 8.0, 0.0)
+        unary[np.arange(len(labels)), labels] += np.where(labels < OUTSIDE, GIVEN, 0.0)
         unary -= unary.max(axis=1, keepdims=True)
         if not len(edges):
             p = np.exp(unary)

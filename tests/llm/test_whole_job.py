@@ -36,3 +36,10 @@ LAYOUTS = [
 def test_repetitions_in_other_layouts_are_added(spark):
     calm = [f"Word {i}, version 4.0. in {1900 + i}, {i} 200 3000 apples" for i in range(40)]
     assert added(spark, [t for t, _ in LAYOUTS] + calm) == [want for _, want in LAYOUTS] + [[]] * len(calm)
+
+
+def test_every_repetition_gets_the_evidence(spark):
+    calm = [f"Word {i}, version 4.0. in {1900 + i}, {i} 200 3000 apples, {i} items" for i in range(60)]
+    many = [("Call +1 988 555 2485 now. ", "988 555 2485", "phone"), ("Write jane.d1@corp.com. ", "jane.d1", "email"), ("Write jane.doe@corp.com. ", "jane.doe", "email")]
+    texts = [told + f"Then {form} there. " * 80 for told, form, _ in many] + [f"Then {form} there. " * 80 + told for told, form, _ in many]
+    assert added(spark, texts + calm) == [[(kind, form)] * 80 for _, form, kind in many * 2] + [[]] * len(calm)
