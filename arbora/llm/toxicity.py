@@ -74,15 +74,20 @@ class Model:
         hit = self.keys[k] == h[i]
         return i[hit], k[hit]
 
+    def within(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences and the features that stand in them, each pair once, by sentence."""
+        where, which = zip(*(self.find(h) for h in features(data, starts, ends)), strict=True)
+        pairs = np.unique(number[np.concatenate(where)].astype(np.int64) << 32 | np.concatenate(which))
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         """Scores and numbers of sentences of the documents, log odds of the sentences, and where all that stands."""
         data, offsets = buffer(column)
         starts, ends, first = words(data, offsets, NOT_ALNUM)
         number, begins = sentences(data, offsets, starts, first)
         z = np.full(int(begins[-1]) if len(begins) else 0, self.bias)
-        for h in features(data, starts, ends):
-            i, k = self.find(h)
-            z += np.bincount(number[i], self.weights[k], minlength=len(z)) if len(i) else 0
+        at, k = self.within(data, starts, ends, number)
+        z += np.bincount(at, self.weights[k], minlength=len(z))
         left = -np.logaddexp(0, z)
         total = np.concatenate(([0.0], np.cumsum(left)))
         n = np.diff(begins)
@@ -116,10 +121,7 @@ def _instances(model: Model):
                 data, offsets = buffer(part.column(0))
                 starts, ends, first = words(data, offsets, NOT_ALNUM)
                 number, begins = sentences(data, offsets, starts, first)
-                where, which = zip(*(model.find(h) for h in features(data, starts, ends)), strict=True)
-                at, k = number[np.concatenate(where)], np.concatenate(which)
-                pairs = np.unique(at.astype(np.int64) << 32 | k)
-                at, k = pairs >> 32, pairs & 0xFFFFFFFF
+                at, k = model.within(data, starts, ends, number)
                 cut = np.searchsorted(at, begins)
                 rows = [(at[a:b] - s, k[a:b]) for a, b, s in zip(cut[:-1], cut[1:], begins[:-1], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(begins)), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["label", "n", "at", "k"])

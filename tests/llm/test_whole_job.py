@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from arbora.llm import pii
+import numpy as np
+import pyarrow as pa
+
+from arbora.llm import pii, textvec, toxicity
 
 
 def added(spark, texts):
@@ -43,3 +46,15 @@ def test_every_repetition_gets_the_evidence(spark):
     many = [("Call +1 988 555 2485 now. ", "988 555 2485", "phone"), ("Write jane.d1@corp.com. ", "jane.d1", "email"), ("Write jane.doe@corp.com. ", "jane.doe", "email")]
     texts = [told + f"Then {form} there. " * 80 for told, form, _ in many] + [f"Then {form} there. " * 80 + told for told, form, _ in many]
     assert added(spark, texts + calm) == [[(kind, form)] * 80 for _, form, kind in many * 2] + [[]] * len(calm)
+
+
+def test_a_feature_counts_once_in_a_sentence():
+    data, offsets = textvec.buffer(pa.array(["soil rotten bad"]))
+    starts, ends, _ = textvec.words(data, offsets, textvec.NOT_ALNUM)
+    keys = textvec.hashes(data, starts, ends)
+    order = np.argsort(keys)
+    model = toxicity.Model(keys[order], np.array([-0.1, 9.0, 0.1])[order], -6.0)
+    calm, mild = "soil " * 3000, "bad " * 3000
+    score, _, z, _ = model.score(pa.array([calm + "rotten " + calm, mild, "soil rotten", "bad. bad rotten"]))
+    assert np.allclose(z, [2.9, -5.9, 2.9, -5.9, 3.1])
+    assert (score >= toxicity.THRESHOLD).tolist() == [True, False, True, True]
