@@ -48,7 +48,8 @@ class Encoder:
 
     Its pre-tokenizer never joins a word to what follows a blank after it, so the ids of a text are those of its words, each with
     the blank or line feed before it. Words are encoded by the same vocabulary in ``tiktoken`` and kept. Texts with any other
-    white space, or with two white spaces in a row, go to ``tokenizers`` whole.
+    white space, or with two white spaces in a row, go to ``tokenizers`` whole, and so do texts that hold an added token, whose id
+    stands for its literal by the file's default.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
@@ -58,11 +59,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         special = {x["content"] for x in described.get("added_tokens", ())}
+        self.added = sorted(special)
         # byte-level files write bytes as printable characters: those that print as themselves, the others from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
@@ -91,7 +92,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD) or any(x in text for x in self.added):
             return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         first, *rest = text.replace("\n", " \n").split(" ")
         get = self.cache.__getitem__

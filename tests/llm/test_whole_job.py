@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from arbora.llm import pii, textvec, toxicity
+from arbora.llm import packing, pii, textvec, toxicity
 
 
 def added(spark, texts):
@@ -58,3 +61,25 @@ def test_a_feature_counts_once_in_a_sentence():
     score, _, z, _ = model.score(pa.array([calm + "rotten " + calm, mild, "soil rotten", "bad. bad rotten"]))
     assert np.allclose(z, [2.9, -5.9, 2.9, -5.9, 3.1])
     assert (score >= toxicity.THRESHOLD).tolist() == [True, False, True, True]
+
+
+SPECIAL = ["stop <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|>", "<|endoftext|><|endoftext|> two", "no <|endoftext |> here", "plain words."]
+
+
+@pytest.mark.parametrize("text", SPECIAL)
+def test_ids_are_those_of_the_file_as_it_is(text):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(path)(text), "<u4").tolist() == want
+
+
+def test_packed_rows_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    found = packing.packed(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")).collect()
+    want = [np.array([*whole.encode(t, add_special_tokens=False).ids, packing.END], "<u4") for t in SPECIAL]
+    assert {r.doc_id: r.doc_tokens for r in found} == {i: len(x) for i, x in enumerate(want)}
+    assert all(r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) for r in found)
