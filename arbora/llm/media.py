@@ -28,7 +28,7 @@ RATE = 8000
 FRAME = 192
 HOP = FRAME // 2
 PEAKS = 3
-FAN_OUT = 1
+FAN_OUT = 6
 REACH = 32
 _BLOCK = 2048
 #: Magnitudes up to here are rounding, not peaks.
@@ -101,12 +101,13 @@ def peaks(samples: bytes, per_frame: int = PEAKS) -> tuple[np.ndarray, np.ndarra
 
 
 def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Time and code of each pair: a peak and each of the next ``FAN_OUT`` peaks, by time and then bin, that are at most ``REACH`` frames away."""
+    """Time and code of each pair: a peak and each of the next ``FAN_OUT`` peaks of later frames, by time and then bin, that are at most ``REACH`` frames away."""
     t, b = peaks(samples)
     times, codes = [], []
-    for k in range(1, FAN_OUT + 1):
-        i = np.arange(max(0, len(t) - k))
-        j = i + k
+    later = np.searchsorted(t, t, "right")
+    for k in range(FAN_OUT):
+        i = np.flatnonzero(later + k < len(t))
+        j = later[i] + k
         gap = t[j] - t[i]
         i, j, gap = i[gap <= REACH], j[gap <= REACH], gap[gap <= REACH]
         times.append(t[i])

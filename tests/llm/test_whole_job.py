@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from arbora.llm import packing, pii, textvec, toxicity
+from arbora.llm import media, packing, pii, textvec, toxicity
 
 
 def added(spark, texts):
@@ -83,3 +83,17 @@ def test_packed_rows_of_special_tokens(spark):
     want = [np.array([*whole.encode(t, add_special_tokens=False).ids, packing.END], "<u4") for t in SPECIAL]
     assert {r.doc_id: r.doc_tokens for r in found} == {i: len(x) for i, x in enumerate(want)}
     assert all(r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) for r in found)
+
+
+def test_fingerprints_survive_a_lost_peak(monkeypatch):
+    passage = media.payload("Seeds went into the wet soil before the rain, and the beds were covered. " * 60)
+    t, b = media.peaks(passage)
+    whole = set(zip(*(x.tolist() for x in media.fingerprints(passage)), strict=True))
+    gaps = {c & 255 for _, c in whole}
+    assert min(gaps) >= 1
+    assert max(gaps) > 1
+    anchors = {(x, c >> 16) for x, c in whole}
+    for lost in range(10, 60):
+        monkeypatch.setattr(media, "peaks", lambda _, lost=lost: (np.delete(t, lost), np.delete(b, lost)))
+        left = whole & set(zip(*(x.tolist() for x in media.fingerprints(passage)), strict=True))
+        assert {(x, c >> 16) for x, c in left} == anchors - {(int(t[lost]), int(b[lost]))}
