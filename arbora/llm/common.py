@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 
 from arbora.ship import ship
 
-__all__ = ["BROADCAST_ROWS", "free", "pieces", "ranked", "shared_dir", "ship", "small", "staged", "unit"]
+__all__ = ["BROADCAST_ROWS", "free", "hot", "joined", "pieces", "ranked", "shared_dir", "ship", "small", "staged", "unit"]
 
 #: Rows that a table may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 10_000
+#: A key with more than this part of a table's rows is hot; so there are fewer hot keys than this.
+PARTS = 256
+#: Rows of a hot key that a task gets at least.
+DEAL = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one of this machine only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master; an error on a cluster, whose machines would not share it."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_arbora_dir", None):
         sc._arbora_dir = tempfile.mkdtemp(prefix="arbora-shared-")
         atexit.register(shutil.rmtree, sc._arbora_dir, True)
@@ -45,6 +51,29 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
 
 
+def hot(counts: DataFrame, on: list[str], n: str = "n", total: int | None = None, parts: int = PARTS) -> list[tuple]:
+    """Keys of ``counts`` (a row for each, ``n`` its rows) with more than 1/``parts`` of all rows (and ``DEAL`` of them), each with the number of tasks to deal it to.
+
+    There are fewer than ``parts`` of them and their tasks are fewer than twice ``parts``, whatever the table's size.
+    """
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    most = max(DEAL, total // parts + 1)
+    return [(*r[:-1], -(-r[-1] // most)) for r in counts.filter(F.col(n) > most).select(*on, n).collect()]
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], by: str, keys: list[tuple], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has a row for each key, on columns without nulls. Rows of the hot ``keys`` are dealt to several tasks by a hash of ``by``, and their rows of ``right`` copied to each."""
+    if not keys:
+        return left.join(right, on, how)
+    salt, tasks = free("_salt", left, right), free("_tasks", left, right)
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    table = F.broadcast(left.sparkSession.createDataFrame(keys, ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", {tasks} int"))
+    dealt = F.when(F.col(tasks).isNotNull(), F.pmod(F.hash(F.lit(7), by), F.col(tasks))).otherwise(0)
+    many = left.join(table, on, "left").withColumn(salt, dealt).drop(tasks)
+    copies = right.join(table, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(tasks, F.lit(1)) - 1))).drop(tasks)
+    return many.join(copies, [*on, salt], how).drop(salt)
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """A column name that no frame has."""
     taken = {c.lower() for f in frames for c in f.columns}

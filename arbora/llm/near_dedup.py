@@ -7,12 +7,13 @@ document's places. Five neighbouring coordinates make a band; with 36 bands a pa
 Documents with equal sets are one class from the start, and those with too many shingles of their own are linked with nothing. In
 each bucket one member leads: the others are compared with it on their whole sets, never all with all. Of a bucket's other pairs only
 those in different components matter, and of these only those whose differences from the leader overlap enough; an exact prefix
-filter on the differences finds them. All steps are joins and aggregations, staged in the shared folder; sets are moved to candidates
-only.
+filter finds them, on the differences that are rarest among the leader's documents. All steps are joins and aggregations, staged in
+the shared folder; sets are moved to candidates only, and the rows of a hot key are dealt to many tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, pieces, ship, staged
+from .common import free, hot, joined, pieces, ship, staged
 from .textvec import buffer, hashes, mix, words
 
 #: Places of the hashed shingles, bands of a signature, coordinates of a band.
 UNIVERSE, BANDS, ROWS = 1 << 20, 36, 5
 SEED = 5
-#: Links that one task unites at most.
+#: Ends of links that a task unites at a time.
 TOGETHER = 500_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,10 +78,10 @@ def _signed(size: int, least: int):
         for batch in batches:
             for part in pieces(batch, 1):
                 sets = shingles(part.column(1), size)
-                digests = [int(mix(s + np.uint64(0xABCDEF)).sum(dtype=np.uint64)) << 64 | int(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 keys = [bands((mix(s * _MUL) >> top).astype(np.int64), table).view(np.int64) if len(s) > least else [] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d.to_bytes(16, "big") for d in digests], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
 
@@ -112,7 +113,7 @@ def _verified(percent: int):
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each end of a task's edges with the least id that it reaches by them."""
+    """Each end of a task's links with the least id that it reaches by them; after every ``TOGETHER`` ends it begins anew."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -123,37 +124,51 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def found() -> pa.RecordBatch:
+        ids = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    ids = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "comp"])
+        if len(parent) >= TOGETHER:
+            yield found()
+            parent.clear()
+    yield found()
 
 
-def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
-    """``id, comp`` for each end of ``edges(a, b)``: the least id that is reachable.
+def components(edges: DataFrame) -> DataFrame:
+    """``id, comp`` for each end of ``edges(a, b)`` that has another: the least id that is reachable.
 
-    Up to ``together`` edges are one task's work. More are tables in which labels spread and are shortened by looking up labels of
-    labels, so long chains take few rounds.
+    Tasks first shorten the links that they hold. Then each id is contracted into the first of its neighbours and itself in a
+    seeded random order, and the links are carried over to those, until none is left; a part of the ids goes in each round, long
+    chains too. At last the contractions are looked up one after the other, the last ones first.
     """
-    edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if edges.count() <= together:
-        return staged(edges.repartition(1).mapInArrow(_united, "id long, comp long"))
-    both = staged(edges.union(edges.select("b", "a")))
-    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("near"))
-        spread = labels.join(near, labels.id == near.a, "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
-        # an id that is itself a label may have learnt of a lower one from any that carries its label
-        hooks = spread.groupBy(F.col("comp").alias("c")).agg(F.min("new").alias("low"))
-        hooked = spread.join(hooks, spread.comp == hooks.c).select("id", "comp", F.least("new", "low").alias("new"))
-        jump = hooked.select(F.col("id").alias("j"), F.col("new").alias("further"))
-        moved = staged(hooked.join(jump, hooked.new == jump.j, "left").select("id", "comp", F.least("new", F.coalesce("further", "new")).alias("new")))
-        done = moved.filter("new < comp").isEmpty()
-        labels = moved.select("id", F.col("new").alias("comp"))
-        if done:
-            return labels
+    edges = staged(edges.select("a", "b").filter("a <> b").mapInArrow(_united, "a long, b long").distinct())
+    into: list[DataFrame] = []
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(into) // 2), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        near = ends.groupBy("a").agg(F.min(order("b")).alias("near"), F.count(F.lit(1)).alias("n"))
+        near = staged(near.select("a", F.least(order("a"), "near")["id"].alias("to"), "n"))
+        keys = hot(near, ["a"])
+        step = near.select("a", "to")
+        moved = joined(edges, step, ["a"], "b", keys).select("b", F.col("to").alias("x"))
+        moved = joined(moved.withColumnRenamed("b", "a"), step, ["a"], "x", keys).select("x", F.col("to").alias("y"))
+        edges = staged(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        into.append(step)
+    if not into:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    reached = into.pop()
+    while into:
+        step = into.pop()
+        keys = hot(step.groupBy("to").agg(F.count(F.lit(1)).alias("n")), ["to"])
+        further = reached.select(F.col("a").alias("to"), F.col("to").alias("further"))
+        reached = staged(joined(step, further, ["to"], "a", keys, "left").select("a", F.coalesce("further", "to").alias("to")))
+    groups = staged(reached.groupBy("to").agg(F.min("a").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = joined(reached, groups.select("to", "least"), ["to"], "a", hot(groups, ["to"]))
+    return staged(found.select(F.col("a").alias("id"), F.least("least", "to").alias("comp")))
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,59 +197,85 @@ def _against(percent: int):
     Let D(d) be the difference of d's set and the leader's, both ways; then the difference of two documents is that of their D. A link
     needs a difference of at most c * (sum of sizes), c = (100 - percent) / (100 + percent), so two D must overlap by
     t = (|D(d)| + |D(e)| - c * (|d| + |e|)) / 2 at least, and share one of their first |D| - t + 1 elements in any order common to
-    the leader's documents: here what the leader hasn't, which is rare, comes before what it has. As t is at most |D(e)| and sizes
-    are within percent, c * (|d| + most of |e|) + 1 elements are enough for any partner; for one that isn't linked to the leader, whose
-    D is larger than c * (|e| + |leader|), half of |D| + c * (|d| - |leader|), rounded up, is enough. ``half`` is that number. Of
-    the elements that two D share, the first leaves t - 1 after it in both, which turns most other pairs away (``gap`` is |D|).
+    the leader's documents. As t is at most |D(e)| and sizes are within percent, c * (|d| + most of |e|) + 1 elements are enough for
+    any partner (``most``); for one that isn't linked to the leader, whose D is larger than c * (|e| + |leader|), half of
+    |D| + c * (|d| - |leader|), rounded up, is enough (``half``). A document that is linked needs partners of the second kind only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         less, more = 100 - percent, 100 + percent
         for batch in batches:
-            linked, first, half, gap, size = [], [], [], [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            linked, differ, most, half, size = [], [], [], [], []
+            for x, y, many in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                extra, lost = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                d = np.setxor1d(x, y, True)
                 n, m = len(x), len(y)
-                both = n - len(extra)
-                gap.append(len(extra) + len(lost))
+                both = (n + m - len(d)) // 2
                 size.append(n)
                 linked.append(100 * both >= percent * (n + m - both))
                 length = less * (n + 100 * n // percent) // more + 1
-                half.append(max(0, -(-((n + m - 2 * both) * more + less * (n - m)) // (2 * more))))
-                if linked[-1]:
-                    length = min(length, half[-1])
-                first.append(np.concatenate((extra, lost))[:length].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(first, pa.list_(pa.int64())), pa.array(half, pa.int32()), pa.array(gap, pa.int64()), pa.array(size, pa.int64())], names=["id", "lead", "linked", "first", "half", "gap", "n"])
+                half.append(max(0, -(-(len(d) * more + less * (n - m)) // (2 * more))))
+                most.append(min(length, half[-1]) if linked[-1] else length)
+                differ.append(d.view(np.int64) if many > 1 else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64())), pa.array(most, pa.int64()), pa.array(half, pa.int64()), pa.array(size, pa.int64())], names=["id", "lead", "linked", "differ", "most", "half", "n"])
 
     return run
 
 
-def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """``id, comp`` of the documents in ``members(key, id, n)`` that are linked to others; None if none is."""
+def _left_over(seen: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of a leader's documents that are in different components, one of them not linked to the leader, and may be linked.
+
+    The order of the prefix filter is by the number of the leader's documents that differ in an element; those of one document alone
+    come first and are never joined. Of the elements that two D share, the first leaves t - 1 after it in both, which turns most
+    other pairs away (``gap`` is |D|).
+    """
+    known = staged(seen.filter("size(differ) > 0").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    leads = staged(known.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all"), (F.min("comp") == F.max("comp")).alias("one")))
+    known = joined(known, leads.filter("not all and not one").select("lead"), ["lead"], "id", hot(leads, ["lead"]), "left_semi")
+    marks = staged(known.select("lead", "id", "linked", "comp", "most", "half", "n", F.size("differ").alias("gap"), F.xxhash64("differ").alias("version"), F.explode("differ").alias("mark")))
+    often = staged(marks.groupBy("lead", "mark").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    shared = joined(marks, often, ["lead", "mark"], "id", hot(often, ["lead", "mark"], "often"))
+    facts = ["lead", "id", "linked", "comp", "most", "half", "n", "gap"]
+    # an id that several rows carry has a version for each of its sets
+    lists = shared.groupBy(*facts, "version").agg(F.array_sort(F.collect_set(F.struct("often", "mark"))).alias("found"))
+    lists = lists.withColumn("before", F.col("gap") - F.size("found")).withColumn("found", F.slice("found", F.lit(1), F.greatest(F.col("most") - F.col("before"), F.lit(0)).cast("int")))
+    first = lists.select(*facts, "before", F.posexplode("found").alias("at", "e"))
+    first = staged(first.select(*facts, (F.col("before") + F.col("at")).alias("at"), F.col("e.mark").alias("mark")).withColumn("deep", F.col("at") >= F.col("half")))
+    other = first.select("lead", "mark", F.col("id").alias("with"), F.col("comp").alias("other"), F.col("linked").alias("close"), F.col("deep").alias("far"), F.col("gap").alias("its_gap"), F.col("n").alias("m"), F.col("at").alias("its_at"))
+    room = f"2 * {100 + percent} * least(gap - at, its_gap - its_at) >= (gap + its_gap) * {100 + percent} - (n + m) * {100 - percent}"
+    pairs = first.filter("not linked").join(other, ["lead", "mark"]).filter(f"comp <> other and (close or (id < with and not (deep or far))) and {room}")
+    return pairs.select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """``id, comp`` of the documents in ``members(key, id, n)`` that are linked to others."""
     ids = staged(members.select("id").distinct())
-    sets = staged(docs.join(ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "id long, set binary"))
+    sets = staged(docs.join(ids, docs.doc_id == ids.id, "left_semi").dropDuplicates(["doc_id", "text"]).select("doc_id", "text").mapInArrow(_sets(size), "id long, set binary"))
     members = _linkable(members, sets, percent)
     # the member with the least of its own leads each bucket: most others are near it
     best = F.struct((F.col("own") / F.col("n")).alias("r"), "id")
-    leads = members.groupBy("key").agg(F.min(best).alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("top.id").alias("lead"))
-    follow = members.join(leads, "key").filter("id <> lead").select("id", "lead").distinct()
+    leads = staged(members.groupBy("key").agg(F.min(best)["id"].alias("lead"), F.count(F.lit(1)).alias("many")))
+    follow = joined(members, leads.filter("many > 1").select("key", "lead"), ["key"], "id", hot(leads, ["key"], "many"))
+    follow = staged(follow.filter("id <> lead").select("id", "lead").distinct())
+    counts = staged(follow.groupBy("lead").agg(F.count(F.lit(1)).alias("many")))
     left, right = sets.withColumnRenamed("set", "x"), sets.select(F.col("id").alias("lead"), F.col("set").alias("y"))
-    seen = staged(follow.join(left, "id").join(right, "lead").select("id", "lead", "x", "y").mapInArrow(_against(percent), "id long, lead long, linked boolean, first array<long>, half int, gap long, n long"))
-    links = seen.filter("linked").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    comps = components(links)
-    # what the leaders left over: pairs of a leader's documents, one of them not linked to it, in different components
-    open_ = seen.filter("not linked").select("lead").distinct()
-    known = seen.join(open_, "lead", "left_semi").join(comps, "id", "left").select("lead", "id", "linked", F.coalesce("comp", "id").alias("comp"), "first", "half", "gap", "n")
-    marks = staged(known.select("lead", "id", "linked", "comp", "half", "gap", "n", F.posexplode("first").alias("at", "mark")).withColumn("deep", F.col("at") >= F.col("half")))
-    other = marks.select("lead", "mark", F.col("id").alias("with"), F.col("comp").alias("other"), F.col("linked").alias("close"), F.col("deep").alias("far"), F.col("gap").alias("its_gap"), F.col("n").alias("m"), F.col("at").alias("its_at"))
-    room = f"2 * {100 + percent} * least(gap - at, its_gap - its_at) >= (gap + its_gap) * {100 + percent} - (n + m) * {100 - percent}"
-    pairs = marks.filter("not linked").join(other, ["lead", "mark"]).filter(f"comp <> other and (close or not (deep or far)) and {room}").select(F.least("id", "with").alias("a"), F.greatest("id", "with").alias("b")).distinct()
+    both = joined(follow.join(left, "id"), right.join(counts, "lead"), ["lead"], "id", hot(counts, ["lead"], "many"))
+    seen = staged(both.select("id", "lead", "x", "y", "many").mapInArrow(_against(percent), "id long, lead long, linked boolean, differ array<long>, most long, half long, n long"))
+    comps = components(seen.filter("linked").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    pairs = _left_over(seen, comps, percent)
     x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    late = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, linked boolean"))
-    if late.filter("linked").isEmpty():
+    late = staged(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long, linked boolean").filter("linked").select("a", "b"))
+    if late.isEmpty():
         return comps
-    return components(links.unionByName(late.filter("linked").select("a", "b")))
+    # the components that late links unite
+    of = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
+    late = late.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
+    late = staged(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    wider = components(late).select(F.col("id").alias("comp"), F.col("comp").alias("wider"))
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    inner = joined(comps, wider, ["comp"], "id", hot(sizes, ["comp"]), "left").select("id", F.coalesce("wider", "comp").alias("comp"))
+    ends = wider.select(F.col("comp").alias("id"), F.col("wider").alias("comp"))
+    return staged(inner.unionByName(ends.join(comps.select("id"), "id", "left_anti")))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -243,33 +284,34 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
     A-Z are lower-cased, words are runs without ASCII white space, and two documents are linked when 100 * intersection is at least
     ``percent`` * union of their sets of distinct ``size``-word shingles (64-bit hashes of them; two differ with a chance of all but
     2**-64). A text with fewer words is one shingle; a null, empty or wordless one has none and is linked with nothing. Repeated
-    rows are linked with each other unless they are empty. A null doc_id is kept and has a null component. Other columns are dropped.
+    rows are linked with each other unless they are empty. A null doc_id is kept with a null component, unless a row with a doc_id
+    has the same set: then it goes with that one's group. Rows that share a doc_id are one document, with the links of all their
+    texts. Other columns are dropped; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # below 100 / (100 - percent) shingles one shingle more or less is too much
     alone = 100 // max(1, 100 - percent) - 2 if percent > 50 else 0
     signed = staged(docs.mapInArrow(_signed(size, alone), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    equal = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = staged(equal)
+    full = signed.filter("n_shingles > 0")
+    classes = staged(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     # of each class one row stands for it; equal ids with different texts each stay with their own set
-    reps = signed.filter("n_shingles > 0 and size(bands) > 0").join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    members = staged(keyed.join(shared, "key", "left_semi"))
+    reps = full.filter("size(bands) > 0").join(classes.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "digest"])
+    keyed = staged(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")))
+    buckets = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    members = staged(joined(keyed, buckets.select("key"), ["key"], "id", hot(buckets, ["key"], "many"), "left_semi"))
     comps = _links(docs, members, size, percent)
-    rows = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    if comps is not None:
-        rows = rows.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    else:
-        rows = rows.withColumn("comp", F.lit(None).cast("long"))
-    linked = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    wide = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
+    rows = joined(full.select("doc_id", "n_shingles", "digest"), wide, ["digest"], "doc_id", hot(classes, ["digest"])).select("doc_id", "n_shingles", "component_id")
+    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` of which one stays for each group, with all their columns."""
+    """The rows of ``docs`` of which one document stays for each group, with all their columns; rows that share its id stay with it.
+
+    Rows without text, words or doc_id stay, and so does an empty table.
+    """
     kept = free("_kept", docs)
     stay = staged(near_groups(docs, size, percent, text, key).filter("kept").select(F.col("doc_id").alias(kept)).distinct())
     return docs.join(stay, F.col(key).eqNullSafe(F.col(kept)), "left_semi")

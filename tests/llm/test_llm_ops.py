@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arbora.llm import exact_dedup, lm, media, mixing, near_dedup, packing, pii, quality, textvec, toxicity
+from arbora.llm import common, exact_dedup, lm, media, mixing, near_dedup, packing, pii, quality, textvec, toxicity
 from arbora.llm.sharding import stratified_shards
 
 
@@ -502,8 +502,10 @@ def test_near_groups_are_brute_force(odd, docs, size):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-def test_near_groups_of_many_edits(spark):
-    """Copies of one text with more and more edits, so that leaders don't reach all and chains matter."""
+@pytest.mark.parametrize("deal", [1, 64])
+def test_near_groups_of_many_edits(spark, deal, monkeypatch):
+    """Copies of one text with more and more edits, so that leaders don't reach all and chains matter; with hot keys dealt out too."""
+    monkeypatch.setattr(common, "DEAL", deal)
     r = random.Random(12)
     base = [f"w{r.randrange(500)}" for _ in range(100)]
     texts = []
@@ -517,6 +519,32 @@ def test_near_groups_of_many_edits(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(near_dedup.near_groups(df, 2))} == _near(data, 2, 80)
 
 
+def test_what_leaders_leave_over_is_found(spark):
+    """Two families around one base whose members are nearer to each other than to it, so that only the filter on differences links them."""
+    base = [f"w{i}" for i in range(100)]
+    data = []
+    for family in range(4):
+        w = list(base)
+        for k in range(11):
+            w[family + 9 * k] = f"f{family}x{k}"
+        for member in range(6):
+            v = list(w)
+            v[(50 + 7 * member + family) % 100] = f"m{family}x{member}"
+            data.append((10 * family + member, " ".join(v)))
+    data.append((99, " ".join(base)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows(near_dedup.near_groups(df, 2))} == _near(data, 2, 80)
+
+
+def test_near_groups_of_repeated_ids(spark):
+    """Rows that share an id, alike or with texts of their own, are one document with the links of all its texts."""
+    base = " ".join(f"w{i}" for i in range(60))
+    data = [(7, base)] * 5 + [(7, base + " a"), (3, base + " b"), (9, "other words"), (9, base + " c"), (None, base), (None, "nobody"), (None, "nobody"), (None, None)]
+    found = rows(near_dedup.near_groups(spark.createDataFrame(data, "doc_id long, text string"), 2))
+    assert len(found) == len(data)
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in found) == sorted([(7, 3, False)] * 6 + [(3, 3, True), (9, 3, False), (9, 3, False), (-1, 3, False)] + [(-1, -1, True)] * 3)
+
+
 def test_near_groups_odd(odd, nothing):
     found = rows(near_dedup.near_groups(odd))
     assert len(found) == odd.count()
@@ -546,11 +574,17 @@ def test_signatures_estimate_similarity():
     assert abs(got - 0.6) < 0.12
 
 
-@pytest.mark.parametrize("together", [0, 10**6])
-def test_components_of_a_long_chain(spark, together):
-    n = 300
+@pytest.mark.parametrize("together", [2, 10**6])
+def test_components_of_a_long_chain(spark, together, monkeypatch):
+    """Tasks that shorten nothing, and hot ends dealt to several tasks, give the same."""
+    monkeypatch.setattr(near_dedup, "TOGETHER", together)
+    monkeypatch.setattr(common, "DEAL", together)
+    n = 100
     order = list(range(n))
     random.Random(3).shuffle(order)
     edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(n + 1, n + 2)]
-    found = {r.id: r.comp for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), together).collect()}
-    assert found == {i: 0 for i in range(n)} | {n + 1: n + 1, n + 2: n + 1}
+    edges += [(1000, i) for i in range(1001, 1200)] + [(1000, 1000), (1150, 1000)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    found = {r.id: r.comp for r in near_dedup.components(table).collect()}
+    assert found == {i: 0 for i in range(n)} | {n + 1: n + 1, n + 2: n + 1} | {i: 1000 for i in range(1000, 1200)}
+    assert near_dedup.components(table.filter("a = b")).count() == 0
