@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.engine import Engine, first_seen
-from arbora.functions.detect import FORMATS, detections, formats, media_type
+from arbora.functions.detect import detections, formats, media_type
 from arbora.functions.text import cell_name, column_letters, escape_pointer
 from arbora.model import LOCATOR, Limits, identified, locator_string, resource_uri
 from arbora.operators import extract_table, find, provenance, read_node, snippet
@@ -314,5 +314,9 @@ ORACLE_SQL: dict[str, str] = {
             ELSE chr(CAST(65 + (n - 18279) // 17576 AS INTEGER)) || chr(CAST(65 + (n - 18279) // 676 % 26 AS INTEGER)) || chr(CAST(65 + (n - 18279) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (n - 18279) % 26 AS INTEGER)) END AS letters FROM n""",
     "table_window": """WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS n, count(*) OVER () AS total FROM customer)
         SELECT CAST(n AS INTEGER) AS row, 'key,name,segment' AS header, c_custkey || ',' || c_name || ',' || c_mktsegment AS row_values, CAST(total AS INTEGER) AS total_rows, total > 150 AS more FROM r WHERE n BETWEEN 101 AND 150""",
-    "formats_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{m}', '{' '.join(e)}')" for n, m, e in FORMATS) + ") AS t(name, media_type, extensions)",
+    "formats_catalog": """SELECT * FROM (VALUES ('csv', 'text/csv', '.csv'), ('docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', '.docx'), ('eml', 'message/rfc822', '.eml'),
+        ('gif', 'image/gif', '.gif'), ('gzip', 'application/gzip', '.gz'), ('html', 'text/html', '.html .htm'), ('jpeg', 'image/jpeg', '.jpg .jpeg'), ('json', 'application/json', '.json'),
+        ('markdown', 'text/markdown', '.md .markdown'), ('pdf', 'application/pdf', '.pdf'), ('png', 'image/png', '.png'), ('pptx', 'application/vnd.openxmlformats-officedocument.presentationml.presentation', '.pptx'),
+        ('tar', 'application/x-tar', '.tar'), ('tar.gz', 'application/gzip', '.tar.gz .tgz'), ('text', 'text/plain', '.txt .text .log'), ('toml', 'application/toml', '.toml'), ('tsv', 'text/tab-separated-values', '.tsv'),
+        ('xlsx', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', '.xlsx'), ('xml', 'application/xml', '.xml'), ('yaml', 'application/yaml', '.yaml .yml'), ('zip', 'application/zip', '.zip')) AS t(name, media_type, extensions)""",
 }

@@ -5,7 +5,10 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from arbora.plans import catalog
+from arbora.plans import catalog, composed
+
+QUERIES = catalog.QUERIES | composed.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | composed.ORACLE_SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,14 +22,14 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     rows = df.collect()
     assert rows
-    if name not in catalog.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         return
-    found = duck.execute(catalog.ORACLE_SQL[name])
+    found = duck.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     order = sorted(names)
