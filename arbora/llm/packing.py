@@ -1,9 +1,10 @@
 """Packing documents into fixed sequences by harmonic classes.
 
 Lengths in (capacity/(k+1), capacity/k] form class k; a bin of class k takes exactly k pieces, so a piece's bin is its rank in its
-class divided by k, and workers fill bins without talking to each other. A piece that would leave more than ``WASTE`` of such a bin
-empty is cut: it gives up exactly capacity/(k+1) tokens, which fill class k+1 without waste, and the rest is classed again. What is
-left of each class is less than one bin; those pieces, bounded by the capacity alone, are packed together by best fit.
+class divided by k, and workers fill bins without talking to each other. A document is cut where that spares such bins more than
+``PRICE`` tokens of padding: it gives up exactly capacity/i tokens, which fill class i without waste, and the rest is classed again.
+No cut leaves a piece of less than ``LEAST`` tokens. What is left of each class is less than one bin; those pieces, bounded by the
+capacity alone, are dealt to groups of about ``SPREAD`` by a hash and packed by best fit in each.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import pieces, ranked, ship, staged, unit
 
 CAPACITY = 2048
 END = 1
-WASTE = 0.03
+#: Padding that a cut must spare, tokens that it must leave on both sides, and pieces in a group of what is left of the classes.
+PRICE, LEAST, SPREAD = 32, 64, 512
 #: Words whose ids a worker keeps; others are encoded each time.
 CACHE = 400_000
 RANGE_ROWS = 20_000
@@ -106,16 +108,29 @@ def encoder(path: str) -> Encoder:
 
 
 @functools.cache
-def lengths(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> tuple[int, ...]:
-    """Lengths of the pieces that ``n`` tokens (at most the capacity) are cut into."""
-    out = []
-    while n:
-        k = capacity // n
-        if k * n >= (1 - waste) * capacity or capacity // (k + 1) < 1:
-            return (*out, n)
-        out.append(capacity // (k + 1))
-        n -= out[-1]
-    return tuple(out)
+def first_cuts(capacity: int, price: int = PRICE, least: int = LEAST) -> tuple[int, ...]:
+    """For each number of tokens up to the capacity, how many to cut off first so that padding and the price of cuts are least; 0 to leave them whole."""
+    padding = [0.0] + [capacity / (capacity // n) - n for n in range(1, capacity + 1)]
+    cost, first = padding[:], [0] * (capacity + 1)
+    for n in range(2 * least, capacity + 1):
+        for piece in sorted({capacity // i for i in range(2, capacity // least + 1)}, reverse=True):
+            if least <= piece <= n - least and padding[piece] + cost[n - piece] + price < cost[n]:
+                cost[n], first[n] = padding[piece] + cost[n - piece] + price, piece
+    return tuple(first)
+
+
+def lengths(n: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of the pieces that ``n`` tokens are cut into."""
+    full, left = divmod(n, capacity)
+    out = [capacity] * full
+    if full and 0 < left < LEAST and capacity // 2 >= LEAST:
+        out[-1] = capacity // 2
+        left += capacity - out[-1]
+    first = first_cuts(capacity)
+    while left:
+        out.append(first[left] or left)
+        left -= out[-1]
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +142,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 n, at = len(ids) // 4, 0
-                for size in (capacity,) * (n // capacity) + lengths(n % capacity, capacity):
+                for size in lengths(n, capacity):
                     rows.append((key, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
                     at += size
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -150,7 +165,8 @@ def _best_fit(capacity: int):
             bins.append(b)
             spots.append(capacity - left)
             insort(room, (left - size, b))
-        return frame.assign(sequence_id=np.array(bins, np.int64), offset=np.array(spots, np.int64))[_NAMES]
+        first = int(frame["spread"].iloc[0]) << 24
+        return frame.assign(sequence_id=first + np.array(bins, np.int64), offset=np.array(spots, np.int64))[_NAMES]
 
     return pack
 
@@ -163,7 +179,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A null or empty text is its end token alone. A document over the capacity fills whole sequences with its first tokens.
-    ``sequence_id`` is class * 2**40 + bin, and the bin alone for what was left of the classes. Repeated rows are packed like any
+    ``sequence_id`` is class * 2**40 + bin, and group * 2**24 + bin for what was left of the classes. Repeated rows are packed like any
     others; other columns are dropped. Only pieces' facts are shuffled.
     """
     ship(docs.sparkSession)
@@ -178,5 +194,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
     full = placed.filter("(bin + 1) * k <= n")
     before = W.partitionBy("k", "bin").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     full = full.select(*_NAMES[:5], F.expr("shiftleft(cast(k as bigint), 40) + bin").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
-    rest = placed.filter("(bin + 1) * k > n").select(*_NAMES[:5], F.expr("0 * k").alias("all")).groupBy("all").applyInPandas(_best_fit(capacity), _SCHEMA)
+    left = placed.filter("(bin + 1) * k > n")
+    groups = max(1, -(-left.count() // SPREAD))
+    rest = left.select(*_NAMES[:5], F.pmod(F.xxhash64(*order), F.lit(groups)).alias("spread")).groupBy("spread").applyInPandas(_best_fit(capacity), _SCHEMA)
     return full.unionByName(rest)
