@@ -48,7 +48,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``most`` rows, by counting no further than that; else leave the join to shuffle."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hot(counts: DataFrame, on: list[str], n: str = "n", total: int | None = None, parts: int = PARTS) -> list[tuple]:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .lm import lm_scores
 from .media import media_features
-from .mixing import mixed
+from .mixing import graded, mixed
 from .near_dedup import near_groups
 from .packing import packed
 from .pii import pii_spans
@@ -49,7 +49,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(_docs(spark, sf_dir))
+    return mixed(_docs(spark, sf_dir), graded)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm.common import staged
 from arbora.llm.exact_dedup import exact_dedup
-from arbora.llm.mixing import mixed
+from arbora.llm.mixing import graded, mixed
 from arbora.llm.near_dedup import near_dedup
 from arbora.llm.packing import packed
 from arbora.llm.quality import quality_filter
@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate has it, in a global random order."""
-    return mixed(docs).select(*docs.columns)
+    """Each document as often as its source's target weight has it, in a global random order."""
+    return mixed(docs, graded).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
