@@ -6,8 +6,10 @@ each word with P(v) = (c(v) + 1) / (N + V + 1), unknown words sharing one. A tex
 beginning state, which carries the state and adds log10 weights; the texts of a chunk advance side by side.
 
 Counts cover all documents of the learning folds and no table of them is ever in one place: documents are staged as chunks of word
-numbers; a chunk asks each bucket for the words and bigrams it has, with its own counts; a bucket adds up what the chunks sent and
-answers each; a chunk then builds the part of the automaton that its texts can reach, and traverses it.
+numbers; a chunk asks for the words and bigrams it has, with its own counts, by 2**``FAN_BITS`` ranges of their hashes. Where that
+many ranges are too few, parties of as many askers merge what they have in a range and ask on by narrower ranges, level by level, so
+that messages grow with the input and not with its square. The last ranges add up what was sent and answer; answers go back the same
+way. A chunk then builds the part of the automaton that its texts can reach, and traverses it.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from .textvec import buffer, hashes, mix, words
 
 MU = 200.0
 FOLDS, HELD = 7, 2
-#: Bytes of text in a chunk, and keys that a bucket holds at a time, about.
-CHUNK_BYTES, BUCKET_KEYS = 16 << 20, 4_000_000
+#: Bytes of text in a chunk, and keys that a range holds at last, about.
+CHUNK_BYTES, RANGE_KEYS = 16 << 20, 4_000_000
+#: Bits of a hash that a level deals by.
+FAN_BITS = 6
+#: Tokens that one lane of a traversal takes at most.
+LANE = 512
 #: The end token, and the state before the first word.
 END, BEGIN = mix(np.arange(2, dtype=np.uint64) + np.uint64(0xE4D))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -114,43 +120,101 @@ class Chunk:
         return np.bincount(self.stream[learn], minlength=len(self.vocabulary)), np.bincount(self.pair[learn], minlength=len(self.pairs))
 
 
-_ASKED = "bucket int, chunk long, kind int, n long, keys binary, counts binary"
-_TOLD = "chunk long, kind int, bucket int, n long, counts binary, tokens long, types long"
+_ASKED = "kind int, prefix long, sender long, n long, keys binary, counts binary"
+_TOLD = "kind int, prefix long, sender long, n long, counts binary, tokens long, types long"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def _asked(buckets: int):
-    width = -(-(1 << 64) // buckets)
-    bounds = np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], np.uint64)
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.table([pa.array(x, _KINDS[kind]) for x, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
+
+def _dealt(kind: int, prefix: int, depth: int, sender: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Messages of sorted keys that begin with ``depth`` times ``bits`` bits of ``prefix``, by their next ``bits``."""
+    shift = 64 - bits * (depth + 1)
+    bounds = np.array([((prefix << bits) + d) << shift for d in range(1, 1 << bits)], np.uint64)
+    cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    for d, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if i < j:
+            yield kind, (prefix << bits) + d, sender, j - i, pack_sorted(keys[i:j]), pack(counts[i:j])
+
+
+def _asked(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
                 rows = []
                 for kind, (keys, counts) in enumerate(zip((chunk.vocabulary, chunk.pairs), chunk.counts(), strict=True)):
-                    cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                    for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                        if i < j:
-                            rows.append((b, row["chunk"], kind, j - i, pack_sorted(keys[i:j]), pack(counts[i:j].astype(np.uint32))))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _ASKED.split(", ")])
+                    rows += _dealt(kind, 0, 0, row["chunk"], keys, counts.astype(np.uint64), bits)
+                yield from _rows(_ASKED, rows).to_batches()
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """A bucket's sums, for each chunk in the order of its keys; the first row carries the bucket's number of tokens and types."""
-    rows = table.to_pylist()
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys of some messages, their sums, and where each message's keys are among them, one message after the other."""
     keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
-    counts = np.concatenate([unpack(r["counts"], r["n"], np.uint32) for r in rows])
-    _, where = np.unique(keys, return_inverse=True)
-    sums = np.bincount(where, counts).astype(np.uint64)
+    counts = np.concatenate([unpack(r["counts"], r["n"], np.uint64) for r in rows])
+    found, where = np.unique(keys, return_inverse=True)
+    return found, np.bincount(where, counts).astype(np.uint64), where
+
+
+def _answers(rows: list[dict], sums: np.ndarray, where: np.ndarray, total: bool) -> pa.Table:
+    """Each message's sums in the order of its keys; the first row carries the range's number of tokens and types if it is the last one to sum."""
     at, out = 0, []
     for r in rows:
-        out.append((r["chunk"], r["kind"], r["bucket"], r["n"], pack(sums[where[at : at + r["n"]]]), 0 if at else int(sums.sum()), 0 if at else int((sums > 0).sum())))
+        facts = (int(sums.sum()), int((sums > 0).sum())) if total and not at else (0, 0)
+        out.append((r["kind"], r["prefix"], r["sender"], r["n"], pack(sums[where[at : at + r["n"]]]), *facts))
         at += r["n"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
+    return _rows(_TOLD, out)
+
+
+def _merged(bits: int, depth: int):
+    """A party's messages as one sender's, dealt on by narrower ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, sums, _ = _summed(rows)
+        return _rows(_ASKED, list(_dealt(rows[0]["kind"], rows[0]["prefix"], depth, rows[0]["party"], keys, sums, bits)))
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    _, sums, where = _summed(rows)
+    return _answers(rows, sums, where, True)
+
+
+def _returned(asked: pa.Table, told: pa.Table) -> pa.Table:
+    """What a party was told about its merged keys, told to its members."""
+    rows = asked.to_pylist()
+    _, _, where = _summed(rows)
+    parts = [unpack(r["counts"], r["n"], np.uint64) for r in sorted(told.to_pylist(), key=lambda r: r["child"])]
+    return _answers(rows, np.concatenate(parts), where, False)
+
+
+def _exchanged(chunks: DataFrame, wanted: int) -> tuple[DataFrame, int, int]:
+    """Rows of ``_TOLD`` with the global counts of each chunk's keys, and the numbers of tokens and of types."""
+    bits, levels = FAN_BITS, 1
+    while (RANGE_KEYS << bits * levels) < wanted:
+        levels += 1
+    sent, senders, parties = chunks.mapInArrow(_asked(bits), _ASKED), chunks.count(), []
+    for depth in range(1, levels):
+        senders = (senders + (1 << bits) - 1) >> bits
+        party = F.pmod(F.xxhash64("sender"), F.lit(senders)) if depth == 1 else F.shiftright("sender", bits)
+        parties.append(staged(sent.withColumn("party", party)))
+        sent = parties[-1].groupBy("kind", "prefix", "party").applyInArrow(_merged(bits, depth), _ASKED)
+    told = staged(sent.groupBy("kind", "prefix").applyInArrow(_added, _TOLD))
+    sums = told.filter("kind = 0").agg(F.sum("tokens"), F.sum("types")).first()
+    for rows in reversed(parties):
+        key = ["kind", "prefix", "party"]
+        back = told.select("kind", F.shiftright("prefix", bits).alias("prefix"), F.col("sender").alias("party"), F.col("prefix").alias("child"), "n", "counts")
+        told = staged(rows.groupBy(*key).cogroup(back.groupBy(*key)).applyInArrow(_returned, _TOLD))
+    return told, int(sums[0] or 0), int(sums[1] or 0)
 
 
 class Automaton:
@@ -171,13 +235,21 @@ class Automaton:
         self.arcs = keys[order]
         self.weights = np.log10((pairs[seen] + mu * p[after[seen]]) / (context[before[seen]] + mu))[order]
 
-    def traverse(self, stream: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 probabilities by the automaton, and by its root alone, of texts that advance side by side."""
-        order = np.argsort(-lengths, kind="stable")
-        at, left = begins[:-1][order].copy(), lengths[order]
-        state = np.full(len(order), self.begin, np.int64)
-        total, plain = np.zeros(len(order)), np.zeros(len(order))
-        alive = len(order)
+    def traverse(self, stream: np.ndarray, begins: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities by the automaton, and by its root alone, of texts that advance side by side.
+
+        A text of more than ``lane`` tokens is handed from lane to lane: the state that a word leads to is the word's alone.
+        """
+        lanes = np.maximum(-(-lengths // lane), 1)
+        owner = np.repeat(np.arange(len(lengths)), lanes)
+        skip = (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * lane
+        size = np.minimum(lengths[owner] - skip, lane)
+        order = np.argsort(-size, kind="stable")
+        owner, skip, left = owner[order], skip[order], size[order]
+        at = begins[:-1][owner] + skip
+        state = np.where(skip > 0, self.next[stream[np.maximum(at - 1, 0)]], self.begin) if len(stream) else np.full(len(owner), self.begin)
+        total, plain = np.zeros(len(owner)), np.zeros(len(owner))
+        alive = len(owner)
         for step in range(int(left[0]) if len(left) else 0):
             while alive and left[alive - 1] <= step:
                 alive -= 1
@@ -189,9 +261,7 @@ class Automaton:
             total[:alive] += np.where(hit, self.weights[k] if len(self.arcs) else 0.0, self.failure[state[:alive]] + root)
             plain[:alive] += root
             state[:alive] = self.next[word]
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return total[back], plain[back]
+        return np.bincount(owner, total, len(lengths)), np.bincount(owner, plain, len(lengths))
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -200,7 +270,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _scored(tokens: int, types: int, starts: int, mu: float):
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
-        answers = sorted(told.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        answers = sorted(told.to_pylist(), key=lambda r: (r["kind"], r["prefix"]))
         counts = [np.concatenate([np.empty(0, np.uint64), *(unpack(r["counts"], r["n"], np.uint64) for r in answers if r["kind"] == kind)]).astype(np.int64) for kind in (0, 1)]
         for row in chunks.to_pylist():
             chunk = Chunk(row)
@@ -224,10 +294,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", mu: floa
     ship(docs.sparkSession)
     chunks = staged(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_chunks, _CHUNK))
     wanted = chunks.agg(F.sum(F.col("n_words") + F.col("n_tokens"))).first()[0] or 0
-    buckets = max(1, -(-wanted // BUCKET_KEYS))
-    asked = chunks.mapInArrow(_asked(buckets), _ASKED)
-    told = staged(asked.groupBy("kind", "bucket").applyInArrow(_added, _TOLD))
-    sums = told.filter("kind = 0").agg(F.sum("tokens"), F.sum("types")).first()
+    told, tokens, types = _exchanged(chunks, wanted)
     learnt = chunks.select(F.explode("ids").alias("id")).filter(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD).count()
-    run = _scored(int(sums[0] or 0), int(sums[1] or 0), learnt, mu)
-    return chunks.groupBy("chunk").cogroup(told.select("chunk", "kind", "bucket", "n", "counts").groupBy("chunk")).applyInArrow(run, _SCORES)
+    answers = told.select(F.col("sender").alias("chunk"), "kind", "prefix", "n", "counts").groupBy("chunk")
+    return chunks.groupBy("chunk").cogroup(answers).applyInArrow(_scored(tokens, types, learnt, mu), _SCORES)

@@ -313,5 +313,5 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     Rows without text, words or doc_id stay, and so does an empty table.
     """
     kept = free("_kept", docs)
-    stay = staged(near_groups(docs, size, percent, text, key).filter("kept").select(F.col("doc_id").alias(kept)).distinct())
+    stay = staged(near_groups(docs, size, percent, text, key).filter("kept or doc_id is null").select(F.col("doc_id").alias(kept)).distinct())
     return docs.join(stay, F.col(key).eqNullSafe(F.col(kept)), "left_semi")

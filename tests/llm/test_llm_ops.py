@@ -285,10 +285,27 @@ def test_lm_is_the_brute_force_model(odd, docs):
         assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in found) == want
 
 
-def test_lm_buckets_and_chunks_change_nothing(docs, monkeypatch):
+@pytest.mark.parametrize("bits", [1, 3])
+def test_lm_levels_and_chunks_change_nothing(docs, bits, monkeypatch):
+    """Ranges that are dealt level by level, with parties that merge, give what one level gives."""
     want = sorted((r["doc_id"], r["score"]) for r in rows(lm.lm_scores(docs)))
-    monkeypatch.setattr(lm, "BUCKET_KEYS", 5_000)
-    assert sorted((r["doc_id"], r["score"]) for r in rows(lm.lm_scores(docs.repartition(3)))) == want
+    monkeypatch.setattr(lm, "RANGE_KEYS", 3_000)
+    monkeypatch.setattr(lm, "FAN_BITS", bits)
+    assert sorted((r["doc_id"], r["score"]) for r in rows(lm.lm_scores(docs.repartition(7)))) == want
+
+
+def test_lanes_hand_over_their_state():
+    r = np.random.default_rng(5)
+    words, starts = np.array([6, 0, 3, 9, 1]), 4
+    before, after, pairs = np.array([0, 0, 2, 3, 5]), np.array([0, 3, 3, 1, 0]), np.array([2, 3, 1, 0, 4])
+    m = lm.Automaton(words, pairs, before, after, starts, 19, 4)
+    lengths = np.array([1, 40, 0, 7, 13])
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    stream = r.integers(0, 5, begins[-1])
+    whole = m.traverse(stream, begins, lengths)
+    for lane in (1, 3, 13):
+        for a, b in zip(whole, m.traverse(stream, begins, lengths, lane), strict=True):
+            assert np.allclose(a, b)
 
 
 def test_automaton_is_a_distribution():
@@ -380,11 +397,14 @@ def test_poisson_inversion():
 
 
 def test_mixing_is_brute_force(docs, odd, nothing):
-    for table, weights in ((docs, None), (odd, None), (docs, {"src0": 3.0, "src1": 1.0, "absent": 5.0}), (odd, {"hot": 1.0, None: 1.0})):
+    for table, weights in ((docs, None), (odd, None), (docs, {"src0": 3.0, "src1": 1.0, "absent": 5.0}), (odd, {"hot": 1.0, None: 1.0}), (docs, mixing.graded), (odd, mixing.graded)):
         u = F.shiftrightunsigned(F.xxhash64(F.lit(977), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), 11).cast("double") * 2.0**-53
         data = table.select("doc_id", "source", u.alias("u")).collect()
         n = collections.Counter(r.source for r in data)
-        w = {s: n[s] ** 0.5 for s in n} if weights is None else {s: weights[s] for s in n if s in weights}
+        if callable(weights):
+            w = {s: 1 + (0 if s is None else zlib.crc32(s.encode()) % 4) for s in n}
+        else:
+            w = {s: n[s] ** 0.5 for s in n} if weights is None else {s: weights[s] for s in n if s in weights}
         want = collections.Counter()
         for r in data:
             if r.source in w:
@@ -397,6 +417,14 @@ def test_mixing_is_brute_force(docs, odd, nothing):
     assert mixing.mixed(nothing).count() == 0
 
 
+def test_counts_are_found_by_halving(spark):
+    for rate in (0.0, 0.3, 2.5, 40.0, 900.0):
+        cdf = mixing.poisson_cdf(rate)
+        df = spark.range(300).select((F.col("id") / 300).alias("u"), F.array(*map(F.lit, cdf)).alias("cdf"))
+        for r in df.select("u", mixing.inverted("cdf", "u").alias("n")).collect():
+            assert r.n == sum(c <= r.u for c in cdf)
+
+
 def test_mixing_meets_its_weights(spark):
     table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
     out = mixing.mixed(table, {"a": 1, "b": 3})
@@ -414,7 +442,6 @@ def _checked(found, data, path):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in found:
         pieces[r["doc_id"]].append(r)
@@ -459,11 +486,27 @@ def test_cached_ids_are_the_tokenizers(t):
     assert np.frombuffer(e(t), "<u4").tolist() == e.whole.encode(t, add_special_tokens=False).ids
 
 
-def test_cuts_fill_their_class():
-    for n in range(1, packing.CAPACITY + 1):
+def test_cuts_spare_padding_and_leave_no_shreds():
+    c = packing.CAPACITY
+    padding = lambda x: c / (c // x) - x
+    for n in range(1, 3 * c + 1):
         got = packing.lengths(n)
         assert sum(got) == n
-        assert all((packing.CAPACITY // x) * x >= (1 - packing.WASTE) * packing.CAPACITY or x == got[-1] for x in got)
+        assert min(got) >= min(n, packing.LEAST)
+        if n <= c:
+            assert all(x == c // (c // x) for x in got[:-1])
+            assert sum(map(padding, got)) + packing.PRICE * (len(got) - 1) <= padding(n) + 1e-9
+            one = [padding(a) + padding(n - a) + packing.PRICE for a in range(packing.LEAST, n - packing.LEAST + 1)]
+            if len(got) == 2:
+                assert sum(map(padding, got)) + packing.PRICE <= min(one) + 1  # capacity // i is rounded down
+
+
+def test_what_is_left_is_packed_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPREAD", 20)
+    r = random.Random(8)
+    data = {i: [" ".join("word" for _ in range(r.randrange(40)))] for i in range(150)}
+    df = spark.createDataFrame([(k, t) for k, [t] in data.items()], "doc_id long, text string")
+    assert _checked(rows(packing.packed(df)), data, packing.default_tokenizer()) > 0
 
 
 # ---- 10 near dedup

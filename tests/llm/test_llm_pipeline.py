@@ -26,7 +26,7 @@ def test_stages_and_run(spark, docs, labels):
     assert set(ids[1]) == good
     assert set(ids[2]) == {min(keys) for keys in _groups(frames[1]).values()}
     assert set(ids[3]) == {root for _, root in _near(texts_of(frames[2]), 5, 80).values()}
-    assert ids[4] == collections.Counter(r.doc_id for r in mixing.mixed(frames[3]).collect())
+    assert ids[4] == collections.Counter(r.doc_id for r in mixing.mixed(frames[3], mixing.graded).collect())
     data = collections.defaultdict(list)
     for k, t in texts_of(frames[4]):
         data[k].append(t)
