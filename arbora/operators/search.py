@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arbora.functions.text import squeezed, trimmed
+from arbora.functions.text import SPACE, squeezed, trimmed
 
 DEFAULT_LIMIT = 20
 SNIPPET = 220
@@ -29,9 +29,21 @@ def occurrences(hay: Column, token: str) -> Column:
 
 
 def snippet(text: Column, name: Column) -> Column:
-    """The text, or the name if that is blank, on one line; what is over 220 characters becomes three dots."""
-    value = squeezed(F.when(trimmed(F.coalesce(text, F.lit(""))) != "", text).otherwise(F.coalesce(name, F.lit(""))))
-    return F.when(F.char_length(value) <= SNIPPET, value).otherwise(F.concat(F.substring(value, 1, SNIPPET - 3), F.lit("...")))
+    """The text, or the name if that is blank, on one line; what is over 220 characters becomes three dots.
+
+    No more than the first 221 visible characters are looked at, which are enough to tell.
+    """
+    head = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), f"^{SPACE}*+((?:{SPACE}*+[^{SPACE[1:-1]}]){{0,{SNIPPET + 1}}})", 1)
+    cut = lambda v: F.when(F.char_length(v) <= SNIPPET, v).otherwise(F.concat(F.substring(v, 1, SNIPPET - 3), F.lit("...")))
+    # arrays of one give a value a name, so that it is worked out once
+    chosen = F.transform(F.array(head(text)), lambda t: F.when(t != "", t).otherwise(head(name)))
+    return F.transform(F.transform(chosen, squeezed), cut)[0]
+
+
+def may_hold(text: Column, name: Column, query: str) -> Column:
+    """Whether a paragraph of a text, or a node with that name alone, can hold every token: a test to make before the text is cut up."""
+    every = lambda c: reduce(lambda a, b: a & b, [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)) for t in dict.fromkeys(query.lower().split())], F.lit(True))
+    return every(text) | every(name)
 
 
 def matches(nodes: DataFrame, query: str) -> DataFrame:

@@ -14,6 +14,7 @@ from arbora.operators.limits import audit
 from arbora.operators.outline import summarize
 from arbora.operators.paragraphs import document_nodes, line_spans, markdown_blocks, paragraphs
 from arbora.operators.render import markdown_lines
+from arbora.operators.search import may_hold
 
 QUERY = "the idiot"
 AUDIT = Limits(max_nodes=5, max_text_bytes=4000)
@@ -56,16 +57,19 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_blocks(marked).select("doc_id", F.array_join("path", "/").alias("path"), "kind", "name", "level", F.sha2("text", 256).alias("text_sha256"), F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
 
 
+def _hopeful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that can hold a node with all tokens."""
+    return _docs(spark, sf_dir).filter(may_hold(F.col("text"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), QUERY))
+
+
 def find_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best paragraphs for two tokens."""
-    return find(document_nodes(_docs(spark, sf_dir)), QUERY, 20).withColumn("locator", locator_string(F.col("locator")))
+    return find(document_nodes(_hopeful(spark, sf_dir)), QUERY, 20).withColumn("locator", locator_string(F.col("locator")))
 
 
 def find_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of each source."""
-    docs = _docs(spark, sf_dir)
-    nodes = document_nodes(docs).join(docs.select("doc_id", "source"), "doc_id")
-    return find(nodes, QUERY, 3, per="source").select("source", "node_id", "score")
+    return find(document_nodes(_hopeful(spark, sf_dir), keep=["source"]), QUERY, 3, per="source").select("source", "node_id", "score")
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
