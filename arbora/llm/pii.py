@@ -4,10 +4,13 @@ Base spans are e-mail addresses, IPv4 addresses, card and phone numbers by fixed
 kind. The field's nodes are the tokens with a digit or an @, and words that equal the local part of a base address (any other token
 is outside by definition). Neighbouring nodes share transition potentials. Skip potentials are shared by distant tokens that repeat
 a form, by addresses and words with the same local part, and by runs of digits, whatever marks and blanks stand between them, with
-the card or phone number that they repeat wholly or in part. The tokens of such a run are one node. Weights are
-trained on counts over all documents: a token's features against the base spans' labels, neighbours' labels, repeated tokens'
-labels. Sum-product messages are passed around the loops, and a token that comes out with an entity's label although no base span
-covers it, and that repeats a token which one does cover, is added to the spans. Base spans stay as they are.
+the card or phone number that they repeat wholly or in part. The tokens of such a run are one node.
+
+Weights begin at statistics over all documents: a token's features against the base spans' labels, neighbours' labels, repeated
+tokens' labels. They are then fitted through the messages on a bounded sample of documents with repetitions: the gradient of the
+likelihood of the known labels is what messages expect with these labels given less what they expect without. Sum-product messages
+are passed around the loops, and a token that comes out with an entity's label although no base span covers it, and that repeats a
+token which one does cover, is added to the spans. Base spans stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import pieces, ship, unit
 
 KINDS = ["email", "ip", "card", "phone"]
 OUTSIDE = len(KINDS)
@@ -33,6 +36,8 @@ PASSES, DAMPING, SURE = 10, 0.5, 0.6
 GIVEN = 1e9
 #: Repetitions that agree, for each label, which the skip potentials start from: many corpora hold few.
 PRIOR = 20
+#: Documents with repetitions that the weights are fitted on at most, about, nodes that such a document may have, and steps of the fit.
+FIT_ROWS, FIT_NODES, STEPS = 400, 200, 15
 #: Characters that a repeated form must have, and digits that a run must; local parts next to an @ may be shorter.
 FORM = 5
 
@@ -248,8 +253,13 @@ class Graph:
         return {x for i, j, kind in self.edges if kind for x, other in ((i, j), (j, i)) if self.labels[x] == OUTSIDE and self.labels[other] < OUTSIDE}
 
 
+    def fits(self) -> bool:
+        """Whether the weights can learn repetitions from this document."""
+        return len(self.bits) <= FIT_NODES and min(self.labels, default=OUTSIDE) < OUTSIDE and any(kind for *_, kind in self.edges)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (0, features, label), of (1, label, next label) and of (2, label, repetition's label)."""
+    """Counts of (0, features, label), of (1, label, next label), of (2, label, repetition's label), and of (3, 0, 0), documents to fit on."""
     for batch in batches:
         counts: dict[tuple[int, int, int], int] = defaultdict(int)
         for part in pieces(batch, 0):
@@ -257,6 +267,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text and _HINT.search(text):
                     g = Graph(text, base_spans(text))
                     hidden = g.hidden()
+                    counts[3, 0, 0] += g.fits()
                     for i, (bits, label) in enumerate(zip(g.bits, g.labels, strict=True)):
                         counts[0, bits, label] += i not in hidden
                     for i, j, kind in g.edges:
@@ -265,10 +276,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["what", "a", "b", "n"])
 
 
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features, known labels (-1: unknown) and edges of the documents to fit on."""
+    for batch in batches:
+        for part in pieces(batch, 0):
+            rows: list[tuple[list[int], list[int], list[int]]] = []
+            for text in part.column(0).to_pylist():
+                if text and _HINT.search(text) and (g := Graph(text, base_spans(text))).fits():
+                    hidden = g.hidden()
+                    rows.append((g.bits, [-1 if i in hidden else x for i, x in enumerate(g.labels)], [x for e in g.edges for x in e]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["bits", "labels", "edges"])
+
+
 def _design(bits: np.ndarray) -> np.ndarray:
     return np.concatenate(((bits[:, None] >> np.arange(len(FEATURES))) & 1, np.ones((len(bits), 1))), axis=1).astype(float)
 
 
+def _normal(logs: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    p = np.exp(logs - logs.max(axis=axes, keepdims=True))
+    return p / p.sum(axis=axes, keepdims=True)
+
+
 class Field:
     """Token weights and the two tables of edge potentials, all logarithms."""
 
@@ -286,7 +314,7 @@ class Field:
         for what, a, b, c in counts:
             if what == 0:
                 n[place[a], b] += c
-            else:
+            elif what < 3:
                 pairs[what - 1, a, b] += c
         x = _design(np.array(seen, np.int64)) if seen else np.zeros((0, len(FEATURES) + 1))
         w = np.zeros((len(FEATURES) + 1, LABELS))
@@ -304,14 +332,8 @@ class Field:
         chance = both.sum(axis=2, keepdims=True) * both.sum(axis=1, keepdims=True) / both.sum(axis=(1, 2), keepdims=True)
         return cls(w, np.clip(np.log(both / chance), -3, 3))
 
-    def marginals(self, bits: np.ndarray, labels: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Probabilities of each node's labels after ``PASSES`` rounds of damped messages both ways along each edge; base labels are given, so no number of doubtful repetitions outweighs them."""
-        unary = _design(bits) @ self.weights
-        unary[np.arange(len(labels)), labels] += np.where(labels < OUTSIDE, GIVEN, 0.0)
-        unary -= unary.max(axis=1, keepdims=True)
-        if not len(edges):
-            p = np.exp(unary)
-            return p / p.sum(axis=1, keepdims=True)
+    def _passed(self, unary: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs, and messages along and then against each edge, after ``PASSES`` damped rounds."""
         i, j, kind = edges.T
         source, target = np.concatenate((i, j)), np.concatenate((j, i))
         tables = np.concatenate((self.tables[kind], self.tables[kind].transpose(0, 2, 1)))
@@ -326,8 +348,40 @@ class Field:
             message = DAMPING * message + (1 - DAMPING) * new
             belief = unary.copy()
             np.add.at(belief, target, message)
-        p = np.exp(belief - belief.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return belief, message
+
+    def _unary(self, bits: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Token potentials, with the labels that are given (those from 0 on)."""
+        unary = _design(bits) @ self.weights
+        unary[np.arange(len(given)), np.maximum(given, 0)] += np.where(given >= 0, GIVEN, 0.0)
+        return unary - unary.max(axis=1, keepdims=True)
+
+    def expected(self, bits: np.ndarray, given: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each node's labels, and of the labels at both ends of each edge."""
+        belief, message = self._passed(self._unary(bits, given), edges)
+        i, j, kind = edges.T
+        along, against = message[: len(edges)], message[len(edges) :]
+        pair = self.tables[kind] + (belief[i] - against)[:, :, None] + (belief[j] - along)[:, None, :]
+        return _normal(belief, (1,)), _normal(pair, (1, 2))
+
+    def fitted(self, bits: np.ndarray, known: np.ndarray, edges: np.ndarray, steps: int = STEPS, rate: float = 0.5, decay: float = 0.05) -> Field:
+        """Steps up the gradient of the likelihood of the known labels, drawn back to where they began."""
+        field = self
+        x = _design(bits)
+        for _ in range(steps if len(edges) else 0):
+            (seen, seen_pairs), (free, free_pairs) = field.expected(bits, known, edges), field.expected(bits, np.full_like(known, -1), edges)
+            weights = field.weights + rate * (x.T @ (seen - free) / len(bits) - decay * (field.weights - self.weights))
+            tables = field.tables.copy()
+            for kind in (0, 1):
+                of = edges[:, 2] == kind
+                tables[kind] += rate * ((seen_pairs[of] - free_pairs[of]).sum(axis=0) / max(1, of.sum()) - decay * (field.tables[kind] - self.tables[kind]))
+            field = Field(weights, np.clip(tables, -3, 3))
+        return field
+
+    def marginals(self, bits: np.ndarray, labels: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Probabilities of each node's labels; base labels are given, so no number of doubtful repetitions outweighs them."""
+        unary = self._unary(bits, np.where(labels < OUTSIDE, labels, -1))
+        return _normal(self._passed(unary, edges)[0] if len(edges) else unary, (1,))
 
     def added(self, texts: list[str], graphs: list[tuple[int, Graph]]) -> dict[int, list[tuple[int, int, int]]]:
         """Spans that the field adds to each text, all graphs passing messages at once."""
@@ -378,18 +432,34 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
+def trained(texts: DataFrame) -> Field:
+    """A field for a table of ``text``: statistics of all rows, then a fit on about ``FIT_ROWS`` of those with repetitions, picked by a hash."""
+    counted = texts.mapInArrow(_counted, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    # at most 2**16 patterns of features by 5 labels, 2 tables of 25, and a number
+    counts = sorted(tuple(r) for r in counted.collect())
+    field = Field.trained([c for c in counts if c[0] < 3])
+    fit = sum(c[3] for c in counts if c[0] == 3)
+    if not fit:
+        return field
+    picked = texts.filter(unit(F.lit(31), "text") < FIT_ROWS / fit).mapInArrow(_graphs, "bits array<long>, labels array<long>, edges array<long>")
+    rows = sorted(tuple(map(tuple, r)) for r in picked.collect())
+    first = np.cumsum([0] + [len(bits) for bits, *_ in rows])
+    join = lambda parts: np.array([x for part in parts for x in part], np.int64)
+    edges = join(e for *_, e in rows).reshape(-1, 3)
+    edges[:, :2] += np.repeat(first[:-1], [len(e) // 3 for *_, e in rows])[:, None]
+    return field.fitted(join(b for b, *_ in rows), join(x for _, x, _ in rows), edges)
+
+
 def pii_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` of each row; the counts are of base spans.
 
-    ``spans`` lists base and added spans as kind:start:end in code points. Null and empty texts have none. Texts are read twice,
-    for the counts that train the field and for the spans, and never shuffled; equal texts get equal spans in any batch. Other
-    columns are dropped; an empty table gives an empty one.
+    ``spans`` lists base and added spans as kind:start:end in code points. Null and empty texts have none. Texts are read for the
+    counts that train the field, for the sample it is fitted on, and for the spans, and never shuffled; equal texts get equal spans
+    in any batch. Other columns are dropped; an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = rows.select("text").mapInArrow(_counted, "what long, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    # at most 2**16 patterns of features by 5 labels, and 2 tables of 25
-    field = Field.trained(sorted(tuple(r) for r in counts.collect()))
+    field = trained(rows.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
