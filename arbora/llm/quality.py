@@ -165,7 +165,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
 def trained(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
     """A discriminant from at most ``rows`` labelled documents; their statistics alone go to the driver, 80 bytes each."""
     known = chosen(labelled(stats, labels, "quality"), rows, 11).withColumnRenamed("_id", "doc_id")
-    found = stats.join(known, "doc_id").select("x", "label").collect()
+    found = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()  # of rows that share an id, one
     x = np.array([r.x for r in found], float).reshape(len(found), len(FEATURES))
     return fit(x, np.array([r.label for r in found], int))
 
@@ -189,7 +189,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to be of quality, with all their columns; texts are not shuffled."""
+    """The rows of ``docs`` that the classifier predicts to be of quality, with all their columns; texts are not shuffled.
+
+    Null and empty texts are judged by their shares, which are 0. An empty table stays empty, one without labels stays whole, and
+    rows that share an id are each judged by their own text.
+    """
     most = chosen(labelled(docs, labels, "quality"), FIT_ROWS, 11).select("_id")
     sample = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(most), "_id")
     model = trained(staged(document_statistics(sample, "_text", "_id")), labels)

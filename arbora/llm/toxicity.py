@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, staged
+from .common import pieces, ship, staged, unit
 from .quality import chosen, held_out, labelled
 from .textvec import NOT_ALNUM, buffer, hashes, mix, words
 
-#: Labelled documents that a fit reads at most, features that it keeps, and documents that a feature must be in.
+#: Labelled documents that a fit reads at most, bytes of one and of all of them (longer ones and the rest aren't learnt from, but scored
+#: whole like any others), features that it keeps, and documents that a feature must be in.
 FIT_ROWS = 10_000
+FIT_ROW_BYTES, FIT_BYTES = 1 << 20, 64 << 20
 FEATURES = 4_000
 LEAST = 4
 #: Standard deviations that a feature's log odds must be from 0; among some 100,000 features few get there by chance.
@@ -158,11 +160,20 @@ def fit(keys: np.ndarray, start: np.ndarray, labels: np.ndarray, counts: np.ndar
     return Model(keys, w, float(b))
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """A model from at most ``FIT_ROWS`` labelled documents of the learning folds, chosen by a seeded hash of their ids."""
+def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
+    """``text, label`` of at most about ``FIT_ROWS`` labelled documents of the learning folds and ``FIT_BYTES``, by seeded hashes of their ids; of rows that share an id, one."""
     known = chosen(labelled(docs, labels, "toxic"), FIT_ROWS, 21)
-    sample = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "_id").select("text", "label")
-    sample = staged(sample)
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= FIT_ROW_BYTES)
+    rows = staged(rows.join(F.broadcast(known), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > FIT_BYTES:
+        rows = rows.filter(unit(F.lit(22), "_id") < 0.97 * FIT_BYTES / size)
+    return rows.select("text", "label")
+
+
+def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+    """A model from a bounded sample; what reaches the driver are the sample's sentences that hold a feature, at most 64 bytes for each byte of ``FIT_BYTES`` if every word were one."""
+    sample = _sample(docs, labels, text, key)
     totals = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
     pos, neg = int(totals[0] or 0), int(totals[1] or 0) - int(totals[0] or 0)
     counts = sample.mapInArrow(_counted, "h long, p long, n long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(F.col("p") + F.col("n") >= LEAST)
@@ -174,7 +185,7 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     order = np.argsort(keys)
     start = np.array([r.w for r in best], float)[order]
     blank = Model(keys[order], start, 0.0)
-    rows = sample.repartition(8).mapInArrow(_instances(blank), "label int, n long, at array<long>, k array<long>").collect()
+    rows = sample.mapInArrow(_instances(blank), "label int, n long, at array<long>, k array<long>").collect()
     return fit(blank.keys, start, np.array([r.label for r in rows], int), np.array([r.n for r in rows], int), [r.at for r in rows], [r.k for r in rows])
 
 
@@ -191,13 +202,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
         for batch in batches:
             for part in pieces(batch, 1):
                 score, n, z, (data, offsets, starts, ends, number, begins) = model.score(part.column(1))
+                # code points before each byte, so that a span costs no more than its two ends
+                points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for s in np.flatnonzero(z >= 0):
                     d = int(np.searchsorted(begins, s, "right")) - 1
                     a, b = np.searchsorted(number, [s, s + 1])
-                    base, i, j = offsets[d], starts[a], ends[b - 1]
-                    lead = len(bytes(data[base:i]).decode("utf-8", "ignore"))
-                    found[d].append({"start": lead, "end": lead + len(bytes(data[i:j]).decode("utf-8", "ignore")), "score": float(1 / (1 + np.exp(-z[s])))})
+                    base = points[offsets[d]]
+                    found[d].append({"start": int(points[starts[a]] - base), "end": int(points[ends[b - 1]] - base), "score": float(1 / (1 + np.exp(-z[s])))})
                 spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(score, 0.0, 1.0)), pa.array(n), pa.array(found, spans)], names=["doc_id", "score", "n_sentences", "offending"])
 
