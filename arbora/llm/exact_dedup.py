@@ -151,19 +151,23 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", bits:
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat a kept id are told apart by their text."""
-    kept = free("_kept", docs)
-    stay = exact_groups(docs, text, key).filter("kept").select(F.col("doc_id").alias(kept), "text_sha256")
-    stay = staged(stay)
-    again = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias(kept))
-    once = docs.join(stay.select(kept), F.col(key).eqNullSafe(F.col(kept)), "left_semi")
-    again = staged(again)
-    if again.isEmpty():
-        return once
-    # An id that several rows carry: of each of its kept texts, one row.
-    sha = free("_sha", docs)
-    many = docs.join(again, F.col(key).eqNullSafe(F.col(kept)), "left_semi")
-    single = once.join(again, F.col(key).eqNullSafe(F.col(kept)), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of equal texts (null and empty are equal) one row stays, that with the smallest id; a null id is larger than all. Rows that share
+    an id are told apart by their text, and of those that share both, which may differ in other columns, one stays. An empty table
+    stays empty. Rows are matched by the ids that go, fewer than those that stay: where these are few (Spark's own threshold for a
+    broadcast), texts stay where they are.
+    """
+    gone, again, sha = free("_gone", docs), free("_again", docs), free("_sha", docs)
+    decided = staged(exact_groups(docs, text, key).select("doc_id", "kept", "text_sha256"))
+    ids = decided.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    stay = docs.join(ids.filter("not kept").select(F.col("doc_id").alias(gone)), F.col(key).eqNullSafe(F.col(gone)), "left_anti")
+    several = staged(ids.filter("kept and n > 1").select(F.col("doc_id").alias(again)))
+    if several.isEmpty():
+        return stay
+    # ids that several rows carry: of each of their kept texts, one row
+    single = stay.join(several, F.col(key).eqNullSafe(F.col(again)), "left_anti")
     squeezed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    many = many.withColumn(sha, F.sha2(squeezed.cast("binary"), 256)).dropDuplicates([key, sha])
-    return single.unionByName(many.join(stay, F.col(key).eqNullSafe(F.col(kept)) & (F.col(sha) == F.col("text_sha256")), "left_semi").drop(sha))
+    many = stay.join(several, F.col(key).eqNullSafe(F.col(again)), "left_semi").withColumn(sha, F.sha2(squeezed.cast("binary"), 256)).dropDuplicates([key, sha])
+    kept = decided.filter("kept").select(F.col("doc_id").alias(again), "text_sha256")
+    return single.unionByName(many.join(kept, F.col(key).eqNullSafe(F.col(again)) & (F.col(sha) == F.col("text_sha256")), "left_semi").drop(sha))

@@ -310,8 +310,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` of which one document stays for each group, with all their columns; rows that share its id stay with it.
 
-    Rows without text, words or doc_id stay, and so does an empty table.
+    Rows without text, words or doc_id stay, and so does an empty table. Rows are matched by the ids that go, as in ``exact_dedup``.
     """
-    kept = free("_kept", docs)
-    stay = staged(near_groups(docs, size, percent, text, key).filter("kept or doc_id is null").select(F.col("doc_id").alias(kept)).distinct())
-    return docs.join(stay, F.col(key).eqNullSafe(F.col(kept)), "left_semi")
+    gone = free("_gone", docs)
+    ids = near_groups(docs, size, percent, text, key).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    drop = staged(ids.filter("not kept").select(F.col("doc_id").alias(gone)))
+    return docs.join(drop, F.col(key) == F.col(gone), "left_anti")
