@@ -186,7 +186,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
     path = path or default_tokenizer()
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     cut = staged(rows.mapInArrow(lambda it: _cut(it, path, capacity), ", ".join(f"{x} long" for x in _NAMES[:5])))
-    buckets = max(16, -(-cut.count() // RANGE_ROWS))
+    buckets = max(64, -(-cut.count() // RANGE_ROWS))
     order = ["doc_id", "start", "ids_crc32", "length", "doc_tokens"]
     cut = cut.withColumn("k", F.expr(f"cast({capacity} div length as int)")).withColumn("u", unit(*order))
     sizes = F.broadcast(cut.groupBy("k").agg(F.count(F.lit(1)).alias("n")))  # at most ``capacity`` classes
