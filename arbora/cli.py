@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "formats":
             print(json.dumps([{"name": n, "media_type": m, "extensions": e} for n, m, e in FORMATS], indent=2))
         else:
-            engine = Engine(_session(), strict=True)
+            engine = Engine(_session(), strict=True, persist=True)
             corpus = _load(engine, a.file, a.name)
             if a.command == "inspect":
                 frame = to_markdown(corpus) if a.format == "markdown" else to_json(corpus, a.pretty)

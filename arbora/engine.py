@@ -131,10 +131,11 @@ class Corpus:
 
 
 class Engine:
-    """Inspects sources. ``strict`` raises the first error of a call; otherwise errors are rows of ``artifacts``."""
+    """Inspects sources. ``strict`` raises the first error of a call; otherwise errors are rows of ``artifacts``. ``persist`` keeps parsed
+    rows on the executors until ``Corpus.unpersist``, for corpora of which much is asked; otherwise each question parses again what it needs."""
 
-    def __init__(self, spark: SparkSession, limits: Limits | None = None, registry: Registry | None = None, strict: bool = False) -> None:
-        self.spark, self.limits, self.registry, self.strict = spark, limits or Limits(), registry or Registry(), strict
+    def __init__(self, spark: SparkSession, limits: Limits | None = None, registry: Registry | None = None, strict: bool = False, persist: bool = False) -> None:
+        self.spark, self.limits, self.registry, self.strict, self.persist = spark, limits or Limits(), registry or Registry(), strict, persist
 
     def formats(self) -> DataFrame:
         return self.spark.createDataFrame(self.registry.formats(), "name string, media_type string, extensions array<string>").orderBy("name")
@@ -165,7 +166,9 @@ class Engine:
         parsed = asked.mapInArrow(_parse(self.registry, self.limits), ROW)
         error = F.struct(F.lit("read").alias("stage"), F.concat(F.lit("input bytes: "), F.col("length").cast("string"), F.lit(f" exceeds {most}")).alias("message"), F.lit("input bytes").alias("limit"), F.col("length").alias("value"), F.lit(most).cast("bigint").alias("max"))
         large = sources.filter(F.col("length") > most).select(F.lit("artifact").alias("tag"), "source_path", "name", F.col("length").alias("size"), error.alias("error"))
-        all_rows = parsed.unionByName(large, allowMissingColumns=True).persist(StorageLevel.MEMORY_AND_DISK)
+        all_rows = parsed.unionByName(large, allowMissingColumns=True)
+        if self.persist:
+            all_rows = all_rows.persist(StorageLevel.MEMORY_AND_DISK)
         out = Corpus(all_rows, sources, self.limits)
         if self.strict and (bad := out.errors.select("name", "error").head()):
             e = bad.error

@@ -11,6 +11,7 @@ import struct
 import tarfile
 import zipfile
 import zlib
+from typing import IO
 
 from arbora.functions.text import ENTRY_MEDIA
 from arbora.model import LimitError, Limits
@@ -62,13 +63,14 @@ class Zip:
             self.expanded += info.file_size
             self.entries[name] = info
 
-    def read(self, name: str) -> bytes:
+    def read(self, name: str, offset: int = 0, want: int | None = None) -> bytes:
+        """A part, or a window of it; a whole one may not be longer than declared."""
         if name not in self.entries:
             raise KeyError(f'ZIP part "{name}" not found')
         info = self.entries[name]
         try:
             with self.file.open(info) as f:
-                data = f.read(info.file_size + 1)
+                data = _forward(f, offset, info.file_size + 1 if want is None else want)
         except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError) as e:
             raise ValueError(f'ZIP part "{name}": {e}') from None
         if len(data) > info.file_size:
@@ -221,36 +223,62 @@ def read(source: Source, limits: Limits) -> Artifact:
     raise ValueError("unknown archive encoding")
 
 
-def content(kind: str, data: bytes, path: str, limits: Limits) -> bytes:
-    """All bytes of a resource in a container of some format; KeyError if it isn't there."""
+#: Bytes that are passed over at a time on the way to a window.
+_STEP = 1 << 16
+
+
+def _forward(f: IO[bytes], offset: int, want: int) -> bytes:
+    """``want`` bytes from ``offset`` on, of a stream that only goes forward; what comes before is dropped piece by piece, what comes after isn't read."""
+    while offset > 0:
+        passed = len(f.read(min(offset, _STEP)))
+        if not passed:
+            return b""
+        offset -= passed
+    return f.read(want)
+
+
+def _window(kind: str, data: bytes, path: str, offset: int, want: int, limits: Limits) -> bytes:
     if kind in ("zip", "docx", "pptx", "xlsx"):
-        return Zip(data, limits).read(path)
-    if kind == "gzip":
-        return _inflated(data, limits)
-    if kind in ("tar", "tar.gz"):
-        raw = _inflated(data, limits) if kind == "tar.gz" else data
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as tar:
-            for info in tar:
-                if clean_path(info.name) == path:
-                    return tar.extractfile(info).read()
-        raise KeyError(path)
+        return Zip(data, limits).read(path, offset, want)
+    if kind in ("gzip", "tar.gz"):
+        if kind == "gzip" and offset + want > limits.max_expanded_bytes:
+            raise LimitError("expanded bytes", offset + want, limits.max_expanded_bytes)
+        try:
+            with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+                return _forward(f, offset, want) if kind == "gzip" else _member(f, "r|", path, offset, want)
+        except (OSError, EOFError, zlib.error) as e:
+            raise ValueError(f"parse GZIP: {e}") from None
+    if kind == "tar":
+        return _member(io.BytesIO(data), "r:", path, offset, want)
     if kind == "eml":
         from .mail import attachment
 
         fields = path.split("/")
-        return attachment(data, int(fields[1]) if len(fields) > 2 and fields[0] == "attachment" and fields[1].isdigit() else 0, limits)
+        whole = attachment(data, int(fields[1]) if len(fields) > 2 and fields[0] == "attachment" and fields[1].isdigit() else 0, limits)
+        return whole[offset : offset + want]
     raise ValueError(f"format {kind} has no readable resources")
 
 
-def ranged(data: bytes, size: int, offset: int, limit: int) -> tuple[bytes, bool]:
-    """A window of a resource and whether it reaches the end; an error if the content is shorter than declared."""
+def _member(f: IO[bytes], mode: str, path: str, offset: int, want: int) -> bytes:
+    with tarfile.open(fileobj=f, mode=mode) as tar:
+        for info in tar:
+            if clean_path(info.name) == path:
+                return _forward(tar.extractfile(info), offset, want)
+    raise KeyError(path)
+
+
+def ranged(kind: str, data: bytes, path: str, size: int, offset: int, limit: int, limits: Limits) -> tuple[bytes, bool]:
+    """A window of a resource in a container of some format, and whether it reaches the end; nothing after the window is inflated.
+
+    An error if the content is shorter than declared or isn't there.
+    """
     if offset >= size:
         return b"", True
     want = min(limit, size - offset)
-    out = data[offset : offset + want]
+    out = _window(kind, data, path, offset, want, limits)
     if want == size - offset and len(out) < want:
         raise ValueError("resource ended before its declared size")
     return out, len(out) >= size - offset
 
 
-__all__ = ["Zip", "check_ratio", "clean_path", "content", "is_link", "media_type", "ranged", "read"]
+__all__ = ["Zip", "check_ratio", "clean_path", "is_link", "media_type", "ranged", "read"]

@@ -33,8 +33,7 @@ def _reader(offset: int, limit: int, limits: Limits):
             for row in batch.to_pylist():
                 out = {"uri": row["uri"], "name": row["name"], "media_type": row["media_type"], "size": row["size"], "offset": offset, "data": None, "eof": None, "error": None}
                 try:
-                    whole = containers.content(row["format"], row["content"], row["path"], limits)
-                    out["data"], out["eof"] = containers.ranged(whole, row["size"], offset, limit or row["size"])
+                    out["data"], out["eof"] = containers.ranged(row["format"], row["content"], row["path"], row["size"], offset, limit or row["size"], limits)
                 except Exception as e:  # noqa: BLE001  a bad entry is a row
                     out["error"] = str(e) or type(e).__name__
                 yield pa.RecordBatch.from_pylist([out], _CONTENT)

@@ -273,6 +273,14 @@ def _snippet(text: str, name: str) -> str:
     return f"CASE WHEN length({value}) <= 220 THEN {value} ELSE substr({value}, 1, 217) || '...' END"
 
 
+def _unescaped(text: str) -> str:
+    """Text of HTML with its references, a last one perhaps cut before its semicolon, and blanks put in order."""
+    whole = f"regexp_replace({text}, '&(amp|lt|gt|quot|copy)\\b;?', '&\\1;', 'g')"
+    for reference, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("copy", "©"), ("amp", "&")):
+        whole = f"replace({whole}, '&{reference};', '{character}')"
+    return f"trim(regexp_replace({whole}, '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
 _DISTINCT = "SELECT min(doc_id) AS doc_id, coalesce(text, '') AS t FROM documents GROUP BY coalesce(text, '')"
 _CONV = "'conv-' || conv_id"
 
@@ -301,8 +309,18 @@ ORACLE_SQL: dict[str, str] = {
     "json_fields": "WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events) SELECT event_id, '/' || replace(replace(key, '~', '~0'), '/', '~1') AS pointer, key, json_extract_string(props, '$.' || key) AS value FROM k",
     "json_kind_counts": """WITH p AS (SELECT DISTINCT props FROM events), n AS (SELECT count(*) AS docs, CAST(sum(len(json_keys(props))) AS BIGINT) AS fields FROM p)
         SELECT 'document' AS kind, docs AS nodes, CAST(0 AS BIGINT) AS numbers FROM n UNION ALL SELECT 'object', docs, 0 FROM n UNION ALL SELECT 'field', fields, 0 FROM n UNION ALL SELECT 'value', fields, fields FROM n""",
-    "html_title_heading": r"""SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title,
-        replace(replace(replace(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS heading FROM pages""",
+    "html_nodes": rf"""WITH page AS (SELECT *, 'sha256:' || sha256(html) AS artifact_id, sha256(html) AS d, regexp_replace(html, '<[^>]*$', '') AS h FROM pages),
+        item AS (SELECT page_id, unnest(regexp_extract_all(h, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS raw, generate_subscripts(regexp_extract_all(h, '<li><a href="[^"]*">([^<]*)</a></li>', 1), 1) AS n FROM page),
+        article AS (SELECT page_id, split_part(split_part(h, '<article>', 2), '</article>', 1) AS a FROM page WHERE contains(h, '<article>')),
+        para AS (SELECT page_id, unnest(string_split(a, '<p>')) AS raw, generate_subscripts(string_split(a, '<p>'), 1) - 1 AS n FROM article),
+        block AS (SELECT page_id, 1 AS part, n, 'paragraph' AS kind, {_unescaped("raw")} AS said, 'nav[1]/ul[1]/li[' || n || ']' AS place FROM item
+                  UNION ALL SELECT page_id, 2, 0, 'section', {_unescaped("regexp_extract(a, '<h1>([^<]*)', 1)")}, 'h1[1]' FROM article WHERE contains(a, '<h1>')
+                  UNION ALL SELECT page_id, 3, n, 'paragraph', {_unescaped("regexp_replace(raw, '<[^>]*>', '', 'g')")}, 'article[1]/p[' || n || ']' FROM para WHERE n > 0),
+        seen AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, n) - 1 AS i FROM block WHERE kind = 'section' OR said <> '')
+        SELECT artifact_id, {_ID.format(digest="d", kind="document", path="'root'")} AS node_id, '' AS path, 'document' AS kind, 'page-' || page_id || '.html' AS name, '' AS text, CAST(0 AS INTEGER) AS level, '' AS locator FROM page
+        UNION ALL SELECT artifact_id, 'node_' || substr(sha256(d || chr(0) || kind || chr(0) || 'root/' || i), 1, 20), CAST(i AS VARCHAR), kind, CASE kind WHEN 'section' THEN said ELSE '' END, CASE kind WHEN 'section' THEN '' ELSE said END,
+            CAST(CASE kind WHEN 'section' THEN 1 ELSE 0 END AS INTEGER), '/html[1]/body[1]/' || CASE kind WHEN 'section' THEN 'article[1]/' ELSE '' END || place FROM seen JOIN page USING (page_id)""",
+    "html_title_heading": f"SELECT page_id, {_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {_unescaped("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")} AS heading FROM pages",
     "detect_scores": """SELECT 'document' AS what, doc_id AS id, CASE doc_id % 4 WHEN 2 THEN 'delimited' ELSE 'text' END AS parser, CAST(CASE doc_id % 4 WHEN 0 THEN 75 WHEN 1 THEN 85 WHEN 2 THEN 90 ELSE 45 END AS INTEGER) AS score FROM documents
         UNION ALL SELECT 'page', page_id, CASE WHEN lower(substr(html, 1, 14)) = '<!doctype html' THEN 'html' ELSE 'text' END, CAST(CASE WHEN lower(substr(html, 1, 14)) = '<!doctype html' THEN 100 ELSE 45 END AS INTEGER) FROM pages""",
     "outline_summary": f"""SELECT {_CONV} AS artifact_id, 1 + 2 * count(*) AS node_count, least(200, count(*)) AS entries, arg_min(role || ' ' || turn, turn) AS first,

@@ -19,7 +19,7 @@ class Service:
     """Inspected documents by artifact id, the least recently used forgotten over the limit; equal bytes stay as first seen."""
 
     def __init__(self, spark: SparkSession, roots: list[str] | None = None, limits: Limits | None = None, registry: Registry | None = None, most: int | None = None) -> None:
-        self.engine = Engine(spark, limits, registry, strict=True)
+        self.engine = Engine(spark, limits, registry, strict=True, persist=True)
         self.roots = Roots(roots)
         self.most = most or self.engine.limits.max_stored_artifacts
         self.documents: OrderedDict[str, Corpus] = OrderedDict()

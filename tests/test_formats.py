@@ -250,3 +250,34 @@ def test_readers_only_raise_value_errors(data, name):
 
 def test_zip_sample_is_a_zip():
     assert zipfile.is_zipfile(io.BytesIO(samples.docx()))
+
+
+def test_windows_of_resources_inflate_no_further():
+    from arbora.formats import containers
+    from arbora.model import LimitError, Limits
+
+    import samples
+
+    body = bytes(i * 7 % 251 for i in range(200_000))
+    held = {
+        "zip": (samples.zipped({"a.bin": b"x", "b.bin": body}), "b.bin"),
+        "tar": (samples.tarred({"a.bin": b"x", "b.bin": body}), "b.bin"),
+        "tar.gz": (samples.tarred({"a.bin": b"x", "b.bin": body}, True), "b.bin"),
+        "gzip": (samples.gzipped("b.bin", body), "b.bin"),
+    }
+    loose = Limits(max_compression_ratio=10_000)
+    for kind, (data, path) in held.items():
+        for offset, limit in ((0, 10), (70_000, 100_000), (199_990, 50), (199_999, 1), (0, 200_000)):
+            found, end = containers.ranged(kind, data, path, len(body), offset, limit, loose)
+            assert found == body[offset : offset + limit]
+            assert end == (offset + limit >= len(body))
+        assert containers.ranged(kind, data, path, len(body), 200_000, 5, loose) == (b"", True)
+        with pytest.raises(ValueError, match="ended before|exceeds"):
+            containers.ranged(kind, data, path, len(body) + 9, 199_990, 50, loose)
+        if kind != "gzip":
+            with pytest.raises(KeyError):
+                containers.ranged(kind, data, "c.bin", 5, 0, 5, loose)
+    data, path = held["gzip"]
+    assert containers.ranged("gzip", data[:-40], path, len(body), 5, 20, loose)[0] == body[5:25]  # the cut end isn't reached
+    with pytest.raises(LimitError):
+        containers.ranged("gzip", data, path, len(body), 50, 100, Limits(max_expanded_bytes=100))

@@ -60,3 +60,37 @@ def test_paragraph_columns_agree_with_the_reader(spark):
         tree = plain.read(Source("a.md", t.encode()), Limits()).root
         want = {p: (n.kind, n.name, n.text, n.level, *n.locator["byte_range"].values()) for p, _, n in tree.walk() if p}
         assert {k[1]: v for k, v in blocks.items() if k[0] == i} == want
+
+
+def test_rows_that_share_a_key_or_have_none_keep_their_own_nodes(spark):
+    from arbora.operators.paragraphs import document_nodes, line_spans, markdown_blocks, paragraphs
+
+    long = "\n\n".join(f"part {i}\nof it" for i in range(900))
+    data = [(1, "a\nb"), (1, "c\n\nd"), (None, "e"), (None, None), (2, "# t\nx\n\ny"), (3, long), (4, "")]
+    df = spark.createDataFrame(data, "doc_id int, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in paragraphs(df).filter("doc_id is null or doc_id < 2").collect()) == [(0, "e"), (1, "a\nb"), (1, "c"), (1, "d")]
+    assert sorted((r.doc_id or 0, r.line, r.text) for r in line_spans(df).filter("doc_id is null or doc_id < 2").collect()) == [(0, 0, "e"), (1, 0, "a"), (1, 0, "c"), (1, 1, ""), (1, 1, "b"), (1, 2, "d")]
+    spans = paragraphs(df).filter("doc_id = 3").orderBy("paragraph").collect()
+    assert [long[r.start : r.end] for r in spans] == [r.text for r in spans] == [f"part {i}\nof it" for i in range(900)]
+    assert [(r.path, r.name, r.text) for r in markdown_blocks(df).filter("doc_id = 2").orderBy("path").collect()] == [([0], "t", ""), ([0, 0], "", "x"), ([0, 1], "", "y")]
+    assert document_nodes(df).filter("kind = 'document'").count() == len(data)
+    for plan in (paragraphs(df), line_spans(df), markdown_blocks(df), document_nodes(df)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_tests_tokens_before_it_cuts_texts_up(spark):
+    plan = QUERIES["find_ranked"](spark, DIR)._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("filescan") == 1
+    assert plan.rindex("contains(") > plan.rindex("generate ")
+
+
+def test_long_runs_of_white_space_and_snippets(spark):
+    from pyspark.sql import functions as F
+
+    from arbora.operators import snippet
+
+    texts = [" " * 5000 + "a" + "\n\t " * 3000 + "b", "x" * 220, "x" * 221, "y " * 300, "", "  \n", "é" * 219 + "  z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.s for r in df.select(snippet(F.col("t"), F.lit(" the  name ")).alias("s")).collect()]
+    want = [" ".join(t.split()) or "the name" for t in texts]
+    assert found == [w if len(w) <= 220 else w[:217] + "..." for w in want]
