@@ -14,18 +14,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arbora.ship import ship
+from arbora.ship import ship as _ship
 
 __all__ = ["BROADCAST_ROWS", "free", "hot", "joined", "pieces", "ranked", "shared_dir", "ship", "small", "staged", "unit"]
 
 #: Rows that a table may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 10_000
+#: Bytes of an Arrow batch at most, unless a row has more; sessions that ask for less keep that.
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key with more than this part of a table's rows is hot; so there are fewer hot keys than this.
 PARTS = 256
 #: Rows of a hot key that a task gets at least.
 DEAL = 64
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, and bound Arrow batches in the session: a batch is in the JVM and in Python at once, in each task."""
+    _ship(spark)
+    held = spark.conf.get(_BATCH_BYTES, None)
+    if held is None or held.removesuffix("b").lstrip("-").isdigit() and not 0 < int(held.removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master; an error on a cluster, whose machines would not share it."""
     sc = spark.sparkContext
@@ -103,7 +114,7 @@ def ranked(df: DataFrame, group: list[str], spot: str, order: list[str], buckets
     return joined.withColumn(name, F.col(before) + local).drop(b, before)
 
 
-def pieces(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes in its text column, so that vectors over bytes stay small; a longer text comes alone."""
     column = batch.column(text)
     lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)

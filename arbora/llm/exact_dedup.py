@@ -161,7 +161,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     gone, again, sha = free("_gone", docs), free("_again", docs), free("_sha", docs)
     decided = staged(exact_groups(docs, text, key).select("doc_id", "kept", "text_sha256"))
     ids = decided.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    stay = docs.join(ids.filter("not kept").select(F.col("doc_id").alias(gone)), F.col(key).eqNullSafe(F.col(gone)), "left_anti")
+    drop = staged(ids.filter("not kept").select(F.col("doc_id").alias(gone)))  # a file's size is known before texts are shuffled
+    stay = docs.join(drop, F.col(key).eqNullSafe(F.col(gone)), "left_anti")
     several = staged(ids.filter("kept and n > 1").select(F.col("doc_id").alias(again)))
     if several.isEmpty():
         return stay

@@ -33,7 +33,7 @@ _powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, 1 << 18)
         for k, base in enumerate((_P, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
