@@ -1,4 +1,4 @@
-"""Command line: inspect, find, formats, version. Exit codes: 0 done, 1 failed, 2 wrong use."""
+"""Command line: inspect, find, formats, mcp, version, help. Exit codes: 0 done, 1 failed, 2 wrong use."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from arbora.engine import Corpus, Engine
 from arbora.functions.detect import FORMATS
 from arbora.operators import find
 from arbora.operators.render import to_json, to_markdown
+from arbora.stdio import serve
+from arbora.tools import Service
 
 VERSION = "0.1.0"
 
@@ -40,8 +42,11 @@ def main(argv: list[str] | None = None) -> int:
     two.add_argument("query", nargs="+")
     two.add_argument("--name", default="stdin.txt")
     two.add_argument("--limit", type=int, default=20)
-    commands.add_parser("formats")
-    commands.add_parser("version")
+    commands.add_parser("formats", help="list the formats that can be read")
+    three = commands.add_parser("mcp", help="serve the tools to an agent over standard input and output")
+    three.add_argument("--root", action="append", help="a folder that files may be read from; the current one by default")
+    commands.add_parser("version", help="print the version")
+    commands.add_parser("help", help="print this help")
     try:
         a = p.parse_args(argv)
     except SystemExit as e:
@@ -49,6 +54,10 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.command == "version":
             print(VERSION)
+        elif a.command == "help":
+            p.print_help()
+        elif a.command == "mcp":
+            serve(Service(_session(), a.root), VERSION, sys.stdin, sys.stdout)
         elif a.command == "formats":
             print(json.dumps([{"name": n, "media_type": m, "extensions": e} for n, m, e in FORMATS], indent=2))
         else:

@@ -16,22 +16,28 @@ from arbora.sources.files import Roots
 
 
 class Service:
-    """Inspected documents by artifact id, the least recently used forgotten over the limit; equal bytes stay as first seen."""
+    """Inspected documents by artifact id, the least recently used forgotten over the limits of number and of stored bytes; equal bytes stay as first seen."""
 
     def __init__(self, spark: SparkSession, roots: list[str] | None = None, limits: Limits | None = None, registry: Registry | None = None, most: int | None = None) -> None:
         self.engine = Engine(spark, limits, registry, strict=True, persist=True)
         self.roots = Roots(roots)
         self.most = most or self.engine.limits.max_stored_artifacts
         self.documents: OrderedDict[str, Corpus] = OrderedDict()
+        #: Bytes of the documents that hold resources, which are kept to be read again.
+        self.stored: dict[str, int] = {}
 
     def _keep(self, corpus: Corpus) -> str:
-        key = corpus.artifacts.head().artifact_id
+        top = corpus.artifacts.head()
+        key = top.artifact_id
         if key in self.documents:
             corpus.unpersist()
         else:
             self.documents[key] = corpus
-            while len(self.documents) > self.most:
-                self.documents.popitem(last=False)[1].unpersist()
+            self.stored[key] = 0 if corpus.resources.isEmpty() else top.size
+            while len(self.documents) > 1 and (len(self.documents) > self.most or sum(self.stored.values()) > self.engine.limits.max_stored_bytes):
+                oldest, gone = self.documents.popitem(last=False)
+                del self.stored[oldest]
+                gone.unpersist()
         self.documents.move_to_end(key)
         return key
 

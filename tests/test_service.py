@@ -102,3 +102,52 @@ def test_stream_appends_once(spark, tmp_path):
     formats = sorted(r.format for r in spark.read.parquet(f"{target}/artifacts").collect())
     assert formats == ["csv", "markdown"]
     assert spark.read.parquet(f"{target}/nodes").filter("kind = 'section'").count() == 3
+
+
+def test_tools_over_lines(spark, tmp_path):
+    from arbora import stdio
+
+    (tmp_path / "beds.csv").write_bytes(samples.CSV)
+    service = Service(spark, [str(tmp_path)])
+    call = lambda i, name, **arguments: {"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": arguments}}
+    asked = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        call(3, "artifact_inspect", path="beds.csv"),
+        call(4, "artifact_inspect", path="absent.csv"),
+        call(5, "artifact_inspect", road="beds.csv"),
+        call(6, "nothing"),
+        {"jsonrpc": "2.0", "id": 7, "method": "other"},
+        {"jsonrpc": "2.0", "id": 8, "method": "ping"},
+        [],
+    ]
+    out = io.StringIO()
+    stdio.serve(service, "1", io.StringIO("".join(json.dumps(x) + "\n" for x in asked) + "\n{nonsense\n"), out)
+    found = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in found] == [1, 2, 3, 4, 5, 6, 7, 8, None, None]
+    tools = found[1]["result"]["tools"]
+    assert len(tools) == 9
+    assert {t["name"]: t["inputSchema"]["required"] for t in tools}["artifact_find"] == ["reference", "query"]
+    assert found[2]["result"]["structuredContent"]["format"] == "csv"
+    assert found[3]["result"]["isError"]
+    assert [found[i]["error"]["code"] for i in (4, 5, 6, 8, 9)] == [-32602, -32602, -32601, -32600, -32700]
+    listed = stdio.answer(service, "1", call(9, "artifact_formats"))["result"]["structuredContent"]["items"]
+    assert len(listed) == 21
+
+
+def test_stored_bytes_are_bounded(spark, tmp_path):
+    from arbora.model import Limits
+
+    data = samples.FILES["all.zip"][0]
+    for i in range(3):
+        (tmp_path / f"{i}.zip").write_bytes(samples.zipped({f"{i}.txt": b"some text"}))
+    (tmp_path / "a.csv").write_bytes(samples.CSV)
+    s = Service(spark, [str(tmp_path)], Limits(max_stored_bytes=2 * len(samples.zipped({"0.txt": b"some text"})), max_input_bytes=max(1000, len(data))))
+    ids = [s.artifact_inspect(x)["artifact_id"] for x in ("0.zip", "a.csv", "1.zip", "2.zip")]
+    assert list(s.documents) == ids[1:]
+
+
+def test_help(capsys):
+    assert cli.main(["help"]) == 0
+    assert "mcp" in capsys.readouterr().out
