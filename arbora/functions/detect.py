@@ -82,19 +82,21 @@ def probes(name: Column, content: Column, media: Column, text: Column | None = N
     """
     ext = extension(name)
     body = F.decode(content, "ISO-8859-1") if text is None else text
-    head = F.regexp_replace(body, f"^{SPACE}+", "")
-    start = F.lower(F.substring(head, 1, 16))
+    # what follows leading blanks, without a copy of the whole
+    head = F.regexp_extract(body, f"(?s)^{SPACE}*+(.{{0,16}})", 1)
+    start = F.lower(head)
     json = F.substring(head, 1, 1).isin("{", "[") & F.try_parse_json(F.when(F.is_valid_utf8(content), content.cast("string")) if text is None else text).isNotNull()
     first = F.substring(body, 1, 4096)
     magic = F.hex(F.substring(content, 1, 8))
     utf8 = (F.lit(True) if text is not None else F.is_valid_utf8(content)) & (F.instr(body, "\0") == 0)
-    count = lambda c: F.char_length(body) - F.char_length(F.replace(body, F.lit(c), F.lit("")))
+    comma = F.call_function("locate", F.lit(","), body, F.call_function("locate", F.lit(","), body) + 1)
+    delimited = F.contains(body, F.lit("\n")) & F.contains(body, F.lit(",")) & (comma > 0)
     office = package if package is not None else F.lit(None).cast("string")
     pk = magic.startswith("504B") & (F.octet_length(content) >= 4)
     return {
         "config": _score((ext.isin(".yaml", ".yml"), 100, "YAML extension"), (ext == ".toml", 100, "TOML extension")),
         "json": _score((json, 100, "valid JSON object or array"), (ext == ".json", 70, "JSON extension")),
-        "delimited": _score((ext == ".csv", 90, "CSV extension"), (ext == ".tsv", 90, "TSV extension"), ((count("\n") > 0) & (count(",") > 1), 35, "repeated delimiters across lines")),
+        "delimited": _score((ext == ".csv", 90, "CSV extension"), (ext == ".tsv", 90, "TSV extension"), (delimited, 35, "repeated delimiters across lines")),
         "html": _score((start.startswith("<!doctype html") | start.startswith("<html"), 100, "HTML document signature"), (ext.isin(".html", ".htm"), 90, "HTML extension")),
         "xml": _score((F.substring(head, 1, 5) == "<?xml", 100, "XML declaration"), (ext == ".xml", 85, "XML extension")),
         "email": _score((ext == ".eml", 95, "EML extension"), (F.contains(F.lower(first), F.lit("from:")) & F.contains(F.lower(first), F.lit("subject:")) & F.contains(first, F.lit("\n\n")), 70, "RFC 5322 headers")),
