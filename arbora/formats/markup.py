@@ -26,11 +26,18 @@ FENCE = frozenset("table td th caption button object applet marquee template htm
 
 
 class Element:
-    __slots__ = ("attributes", "children", "parent", "tag", "text")
+    __slots__ = ("attributes", "children", "counts", "number", "parent", "tag", "text")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None, parent: Element | None = None, text: str | None = None) -> None:
         self.tag, self.attributes, self.parent, self.text = tag, attributes or {}, parent, text
         self.children: list[Element] = []
+        #: Its number among the siblings of its tag, and how many children of each tag it has.
+        self.number = 1
+        self.counts: dict[str, int] = {}
+
+    def add(self, child: Element) -> None:
+        child.number = self.counts[child.tag] = self.counts.get(child.tag, 0) + 1
+        self.children.append(child)
 
     def find(self, tag: str) -> Element | None:
         stack = [self]
@@ -45,12 +52,7 @@ class Element:
         """Tags from the root, each with its number among the siblings of that tag."""
         parts, e = [], self
         while e.parent is not None:
-            number = 0
-            for other in e.parent.children:
-                number += other.tag == e.tag
-                if other is e:
-                    break
-            parts.append(f"{e.tag}[{number}]")
+            parts.append(f"{e.tag}[{e.number}]")
             e = e.parent
         return "/" + "/".join(reversed(parts))
 
@@ -73,17 +75,17 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.top = Element("")
         self.html = Element("html", parent=self.top)
-        self.top.children.append(self.html)
+        self.top.add(self.html)
         self.head = Element("head", parent=self.html)
         self.body: Element | None = None
-        self.html.children.append(self.head)
+        self.html.add(self.head)
         self.open: list[Element] = [self.html, self.head]
         self.after_head = False
 
     def _into_body(self, attributes: dict[str, str] | None = None) -> None:
         if self.body is None:
             self.body = Element("body", attributes, self.html)
-            self.html.children.append(self.body)
+            self.html.add(self.body)
             self.open = [self.html, self.body]
 
     def _in_head(self) -> bool:
@@ -120,7 +122,7 @@ class _Builder(HTMLParser):
         if self._in_head():
             if tag in HEAD and not self.after_head or tag in HEAD - {"noscript"}:
                 e = Element(tag, given, self.head)
-                self.head.children.append(e)
+                self.head.add(e)
                 if tag not in VOID:
                     self.open = [self.html, self.head, e]
                 return
@@ -146,7 +148,7 @@ class _Builder(HTMLParser):
 
     def _push(self, tag: str, attributes: dict[str, str]) -> Element:
         e = Element(tag, attributes, self.open[-1])
-        self.open[-1].children.append(e)
+        self.open[-1].add(e)
         if tag not in VOID:
             self.open.append(e)
         return e
@@ -190,7 +192,7 @@ class _Builder(HTMLParser):
             if not data.strip(" \t\n\f\r"):
                 return
             self._into_body()
-        self.open[-1].children.append(Element("", parent=self.open[-1], text=data))
+        self.open[-1].add(Element("", parent=self.open[-1], text=data))
 
 
 def dom(data: bytes | str) -> Element:
