@@ -24,16 +24,13 @@ def escape_pointer(value: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """A, B, ..., Z, AA, ... of a column number from 1, up to four letters."""
+    """A, B, ..., Z, AA, ... of a column number from 1, with as many letters as it takes; nothing for other numbers."""
     n = number.cast("long")
-    letter = lambda x: F.char((x % 26 + 65).cast("long"))
-    out, before = F.lit(""), F.lit(0)
-    for digits in range(1, 5):
-        rest = n - 1 - before
-        word = F.concat(*[letter(F.floor(rest / F.lit(26**k))) for k in reversed(range(digits))])
-        out = F.when(n > before, word).otherwise(out)
-        before = before + 26**digits
-    return out
+    words = []
+    for size in range(14, 0, -1):  # 14 letters hold every long
+        before = sum(26**k for k in range(1, size))  # numbers with fewer letters
+        words.append(F.when(n > before, F.lpad(F.conv((n - 1 - before).cast("string"), 10, 26), size, "0")))
+    return F.translate(F.coalesce(*words, F.lit("")), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def cell_name(column: Column, row: Column) -> Column:

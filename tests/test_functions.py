@@ -24,6 +24,12 @@ def test_letters_agree_with_the_reader(spark):
     assert [r.c for r in df.collect()] == [cell_name(n, 3) for n in numbers]
 
 
+def test_letters_of_columns_beyond_four_letters(spark):
+    numbers = [475_254, 475_255, 1_200_000, 12_356_630, 12_356_631, 2**31 - 1, 2**53 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in [*numbers, 0, -1, None]], "n long").select(text.column_letters(F.col("n")).alias("c"))
+    assert [r.c for r in df.collect()] == [*(cell_name(n, 3)[:-1] for n in numbers), "", "", ""]
+
+
 @pytest.mark.parametrize(("given", "want"), [(" \t a b　\n", "a b"), ("", ""), (" ", "")])
 def test_trim_is_unicode(spark, given, want):
     assert one(spark, text.trimmed(F.lit(given))) == want
