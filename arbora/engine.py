@@ -98,6 +98,11 @@ class Corpus:
         repeats = sources.withColumn("_n", first).filter("_n > 1").drop("_n")
         return self.parsed.filter(F.col("tag") == tag).join(repeats, ["artifact_id", "source_path"], "left_anti")
 
+    @property
+    def source_nodes(self) -> DataFrame:
+        """Nodes of every source by its path, those of equal bytes once for each; one pass without a join, so nothing is parsed twice or shuffled."""
+        return self.parsed.filter("tag = 'node'").select("artifact_id", "source_path", "path", "kind", "name", "text", "level", "locator", "attributes")
+
     @property
     def nodes(self) -> DataFrame:
         rows = identified(self._content("node"))

@@ -29,6 +29,16 @@ def from_column(df: DataFrame, content: str, name: Column | str, path: Column |
     return df.select(name.alias("name"), (F.concat(F.lit("row:"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")) if path is None else path).alias("source_path"), F.octet_length(body).cast("bigint").alias("length"), body.alias("content"))
 
 
+#: Tasks that each core gets of rows that are dealt out.
+DEAL = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than would keep all cores busy, dealt out evenly: a small table is one split, but a file made of each row takes long to parse."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(DEAL * cores) if df.rdd.getNumPartitions() < DEAL * cores else df
+
+
 class Roots:
     """The folders that paths may lie in; links are followed before that is decided."""
 

@@ -236,3 +236,10 @@ def test_equal_bytes_have_one_tree(spark):
     c = Engine(spark).inspect_bytes([("b.txt", b"same"), ("a.md", b"same")])
     assert c.artifacts.count() == 2
     assert [(r.kind, r.name) for r in c.nodes.orderBy("path").collect()] == [("document", "b.txt"), ("paragraph", "")]
+
+
+def test_nodes_by_source_show_equal_bytes_for_each(spark):
+    c = Engine(spark).inspect_bytes([("a.txt", b"one"), ("b.txt", b"one"), ("a.txt", b"two"), ("bad.json", b"{")])
+    rows = c.source_nodes.collect()
+    assert sorted((r.source_path[-1], r.kind, r.name, r.text) for r in rows) == [("0", "document", "a.txt", ""), ("0", "paragraph", "", "one"), ("1", "document", "b.txt", ""), ("1", "paragraph", "", "one"), ("2", "document", "a.txt", ""), ("2", "paragraph", "", "two")]
+    assert {r.artifact_id for r in rows} == {r.artifact_id for r in c.nodes.collect()}

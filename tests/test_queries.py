@@ -94,3 +94,12 @@ def test_long_runs_of_white_space_and_snippets(spark):
     found = [r.s for r in df.select(snippet(F.col("t"), F.lit(" the  name ")).alias("s")).collect()]
     want = [" ".join(t.split()) or "the name" for t in texts]
     assert found == [w if len(w) <= 220 else w[:217] + "..." for w in want]
+
+
+@pytest.mark.parametrize("name", ["html_tables", "csv_nodes", "mail_nodes", "docx_nodes"])
+def test_nodes_of_a_query_are_parsed_once_on_all_cores(spark, name):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    parsed = [x for x in plan.splitlines() if "MapInArrow" in x and "parent_kind" in x]
+    assert len(parsed) == 1
+    assert "Join" not in plan
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan
