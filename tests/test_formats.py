@@ -281,3 +281,30 @@ def test_windows_of_resources_inflate_no_further():
     assert containers.ranged("gzip", data[:-40], path, len(body), 5, 20, loose)[0] == body[5:25]  # the cut end isn't reached
     with pytest.raises(LimitError):
         containers.ranged("gzip", data, path, len(body), 50, 100, Limits(max_expanded_bytes=100))
+
+
+def test_both_yaml_loaders_find_the_same_nodes():
+    import yaml
+
+    texts = ["key: 1\nbrand: 'B#1'\nflags: [yes, ~, true]\nbase:\n  a/b: 1994-01-05\n  size: 7\n", "- a\n-\n- {b: }\n", "a:\n", "{0x1<<: }", "- # c\n  x: 1.5e3\n", "# only\n", "", "a: 'it''s'\nb: \"q\n  r\"\n", "a:\tb", "a: é\n", "--- \na\n--- \nb\n", "x: &a [1]\ny: *a\n", "a: [b\n", "a: 1\na: 2\n"]
+    found = []
+    for fast in (structured._Fast, None):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(structured, "_Fast", fast)
+            found.append([])
+            for t in texts:
+                try:
+                    found[-1].append(repr(structured.read_yaml(Source("a.yaml", t.encode()), L).root))
+                except ValueError as e:
+                    found[-1].append(str(e))
+    assert found[0] == found[1]
+    if structured._Fast:  # the plain case composes no Python events
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(yaml.SafeLoader, "__init__", None)
+            assert structured.read_yaml(Source("a.yaml", texts[0].encode()), L).root.children
+
+
+def test_yaml_of_very_many_levels_is_an_error():
+    for text in ("[\n" * 4000 + "]\n" * 4000, "- " * 2000 + "a", "{a: \n" * 4000 + "b" + "}\n" * 4000):
+        with pytest.raises((ValueError, RecursionError)):
+            structured.read_yaml(Source("a.yaml", text.encode()), L)
