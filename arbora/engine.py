@@ -7,7 +7,7 @@ rows; identities, limits of the table view and everything asked of the trees are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -30,6 +30,8 @@ _KINDS = {"size": pa.int64(), "metadata": _STRINGS, "error": pa.struct([("stage"
 _SCHEMA = pa.schema([(n, _KINDS.get(n, pa.string())) for n in _NAMES])
 #: Rows that a batch carries back at most.
 BATCH = 4_000
+#: Characters of rendered texts that a batch carries back at most, unless one text has more.
+RENDERED = 4 << 20
 
 
 def _map(value: dict[str, str] | None) -> list[tuple[str, str]]:
@@ -63,14 +65,18 @@ def _rows(source: Source, native: list[tuple[int, str, str]], registry: Registry
         yield base | {"tag": "warning"} | w
 
 
+def _sources(batch: pa.RecordBatch) -> Iterator[tuple[Source, list[tuple[int, str, str]]]]:
+    for i in range(batch.num_rows):
+        name, path, media, data, found = (batch.column(c)[i].as_py() for c in range(5))
+        yield Source(name, data, path, media), [(x["score"], x["parser"], x["reason"]) for x in found]
+
+
 def _parse(registry: Registry, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, path, media, data, found = (batch.column(c)[i].as_py() for c in range(5))
-                native = [(x["score"], x["parser"], x["reason"]) for x in found]
-                for row in _rows(Source(name, data, path, media), native, registry, limits):
+            for source, native in _sources(batch):
+                for row in _rows(source, native, registry, limits):
                     waiting.append(row)
                     if len(waiting) >= BATCH:
                         yield pa.RecordBatch.from_pylist(waiting, _SCHEMA)
@@ -81,11 +87,40 @@ def _parse(registry: Registry, limits: Limits):
     return run
 
 
+def _render(registry: Registry, limits: Limits, render: Callable[[Artifact], str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            waiting: list[tuple[str, str, str]] = []
+            size = 0
+            for source, native in _sources(batch):
+                ranked = registry.ranked(source, native)
+                if not ranked:
+                    continue
+                try:
+                    made = finalised(registry.parse(ranked[0][1], source, limits), limits)
+                except Exception:  # noqa: BLE001  the artifact has the error
+                    continue
+                text = render(made)
+                waiting.append((f"sha256:{made.digest}", source.path, text))
+                size += len(text)
+                if size >= RENDERED:
+                    yield _texts(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                yield _texts(waiting)
+
+    return run
+
+
+def _texts(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["artifact_id", "source_path", "rendered"])
+
+
 class Corpus:
     """Artifacts, nodes, resources and warnings of some sources. Of equal bytes the tables of content show the first source's tree; ``artifacts`` shows every source."""
 
-    def __init__(self, parsed: DataFrame, sources: DataFrame, limits: Limits) -> None:
-        self.parsed, self.sources, self.limits = parsed, sources, limits
+    def __init__(self, parsed: DataFrame, sources: DataFrame, limits: Limits, asked: DataFrame, registry: Registry) -> None:
+        self.parsed, self.sources, self.limits, self.asked, self.registry = parsed, sources, limits, asked, registry
 
     @property
     def artifacts(self) -> DataFrame:
@@ -103,6 +138,11 @@ class Corpus:
         """Nodes of every source by its path, those of equal bytes once for each; one pass without a join, so nothing is parsed twice or shuffled."""
         return self.parsed.filter("tag = 'node'").select("artifact_id", "source_path", "path", "kind", "name", "text", "level", "locator", "attributes")
 
+    def rendered(self, render: Callable[[Artifact], str]) -> DataFrame:
+        """``artifact_id, source_path, rendered``: a text made of each source's whole tree where it is parsed, so no node leaves its
+        task. Sources with an error have none. Parses again, kept rows or not."""
+        return self.asked.mapInArrow(_render(self.registry, self.limits, render), "artifact_id string, source_path string, rendered string")
+
     @property
     def nodes(self) -> DataFrame:
         rows = identified(self._content("node"))
@@ -174,7 +214,7 @@ class Engine:
         all_rows = parsed.unionByName(large, allowMissingColumns=True)
         if self.persist:
             all_rows = all_rows.persist(StorageLevel.MEMORY_AND_DISK)
-        out = Corpus(all_rows, sources, self.limits)
+        out = Corpus(all_rows, sources, self.limits, asked, self.registry)
         if self.strict and (bad := out.errors.select("name", "error").head()):
             e = bad.error
             raise LimitError(e.limit, e.value, e.max) if e.limit else ValueError(f"{bad.name}: {e.message}")

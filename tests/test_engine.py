@@ -243,3 +243,25 @@ def test_nodes_by_source_show_equal_bytes_for_each(spark):
     rows = c.source_nodes.collect()
     assert sorted((r.source_path[-1], r.kind, r.name, r.text) for r in rows) == [("0", "document", "a.txt", ""), ("0", "paragraph", "", "one"), ("1", "document", "b.txt", ""), ("1", "paragraph", "", "one"), ("2", "document", "a.txt", ""), ("2", "paragraph", "", "two")]
     assert {r.artifact_id for r in rows} == {r.artifact_id for r in c.nodes.collect()}
+
+
+def test_trees_are_rendered_where_they_are_parsed(spark):
+    from arbora.operators.render import source_json, source_markdown
+
+    c = Engine(spark).inspect_bytes([("a.yaml", b"k: [1, {x: y}]\n"), ("b.yaml", b"k: [1, {x: y}]\n"), ("bad.json", b"{"), ("odd.bin", b"\0\1")])
+    body = "- **k**\n  - **k**\n    - 1\n    - **1**\n      - **x:** y\n"
+    assert sorted((r.source_path[-1], r.rendered) for r in source_markdown(c).collect()) == [("0", f"# a.yaml\n\n{body}"), ("1", f"# b.yaml\n\n{body}")]
+    assert [r.rendered for r in to_markdown(c).collect()] == [f"# a.yaml\n\n{body}"]
+    ids = {(tuple(r.path), r.kind): r.node_id for r in c.nodes.collect()}
+
+    def walk(node, path=()):
+        assert ids.pop((path, node["kind"])) == node["id"]
+        for i, x in enumerate(node.get("children", [])):
+            walk(x, (*path, i))
+
+    walk(json.loads(to_json(c).head().rendered)["root"])
+    assert not ids
+    for df in (source_markdown(c), source_json(c)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert "Exchange" not in plan
