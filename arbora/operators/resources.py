@@ -80,7 +80,7 @@ def inspect_resources(engine: Engine, corpus: Corpus, uris: list[str] | None = N
         if level + 1 < depth and corpus.resources.isEmpty():
             break
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    return Corpus(union([c.parsed for c in levels]), union([c.sources for c in levels]), engine.limits)
+    return Corpus(union([c.parsed for c in levels]), union([c.sources for c in levels]), engine.limits, union([c.asked for c in levels]), engine.registry)
 
 
 def content_view(content: DataFrame) -> DataFrame:

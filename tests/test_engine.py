@@ -265,3 +265,11 @@ def test_trees_are_rendered_where_they_are_parsed(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1
         assert "Exchange" not in plan
+
+
+def test_nested_corpora_are_rendered(spark):
+    engine = Engine(spark)
+    c = engine.inspect_bytes([("outer.zip", samples.zipped({"in.zip": samples.zipped({"deep/note.txt": b"far below"}), "top.txt": b"above"}))])
+    text = sorted(r.rendered for r in to_markdown(res.inspect_resources(engine, c, depth=2)).collect())
+    assert [t.split("\n")[0] for t in text] == ["# deep/note.txt", "# in.zip", "# top.txt"]
+    assert text[0].endswith("far below\n\n")
